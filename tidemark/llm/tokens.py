@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import unicodedata
 
 import numpy as np
 
 #: Distinct words whose ids a worker remembers; beyond that it starts afresh.
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 19
+#: Words in one call of the library, and the byte that keeps them apart.
+JOINED, _APART = 128, b"\x01"
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -27,6 +31,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        #: For text that the normaliser would not change but for white space, which no id depends on.
+        self.normal = Tokenizer.from_file(path)
+        self.normal.normalizer = None
+        self.apart = self.tokenizer.encode("\x01", add_special_tokens=False).ids[0]
         self._reset()
 
     def _reset(self) -> None:
@@ -34,19 +42,46 @@ class Encoder:
         self.memo: dict[bytes, int] = {b"": 0}
         self.pool, self.used = np.zeros(1 << 16, np.uint32), len(end)
         self.pool[: len(end)] = end
-        self.start, self.length = [0], [len(end)]
+        self.start, self.length = np.zeros(1, np.int64), np.array([len(end)], np.int64)
 
     def _learn(self, fresh: list[bytes]) -> None:
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        for word, x in zip(fresh, coded, strict=True):
-            self.memo[word] = len(self.start)
-            ids = x.ids
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.start.append(self.used)
-            self.length.append(len(ids))
-            self.used += len(ids)
+        """Words are encoded some hundred at a time, apart from each other by a character whose id no
+        other text has; words that hold this character are encoded alone."""
+        odd = [w for w in fresh if _APART in w]
+        plain = fresh if not odd else [w for w in fresh if _APART not in w]
+        n_low = len(low := [w for w in plain if w == w.lower()])
+        plain = low + [w for w in plain if w != w.lower()]
+        coded = []
+        for i in range(0, len(plain), JOINED):
+            text = b" \x01 ".join([*plain[i : i + JOINED], b""]).decode("utf-8", "replace")
+            normal = i + JOINED <= n_low and text == text.lower() and unicodedata.is_normalized("NFC", text)
+            coded.append((self.normal if normal else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        n_texts = len(coded)
+        for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False):
+            coded.append(x.ids)
+        n_plain = sum(map(len, coded[:n_texts]))
+        ids = np.fromiter(itertools.chain.from_iterable(coded), np.uint32)
+        apart = np.flatnonzero(ids[:n_plain] == self.apart)
+        ends = np.concatenate([apart, n_plain + np.cumsum([len(x) for x in coded[n_texts:]], dtype=np.int64)])
+        begins = np.concatenate([[0], apart + 1, ends[len(plain) : -1]])[: len(fresh)].astype(np.int64)
+        self._add(plain + odd, ids, begins, ends)
+
+    def _add(self, words: list[bytes], ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.memo.update(zip(words, range(len(self.memo), len(self.memo) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, begins + self.used])
+        self.length = np.concatenate([self.length, ends - begins])
+        self.used += len(ids)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered words end to end, and len(at) + 1 offsets."""
+        length = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        where = np.repeat(self.start[at] - ends[:-1], length)
+        where += np.arange(len(where))
+        return self.pool[where], ends
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids end to end, each text's followed by the end id, and len(texts) + 1 offsets."""
@@ -58,12 +93,8 @@ class Encoder:
             found += text.split()
             found.append(b"")
             counts[i + 1] = len(found)
-        if fresh := [w for w in dict.fromkeys(found) if w not in self.memo]:
-            self._learn(fresh)
-        memo = self.memo
-        at = np.fromiter((memo[w] for w in found), np.int64, len(found))
-        length = np.asarray(self.length, np.int64)[at]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        where = np.repeat(np.asarray(self.start, np.int64)[at] - ends[:-1], length)
-        where += np.arange(len(where))
-        return self.pool[where], ends[counts]
+        if fresh := set(found).difference(self.memo):
+            self._learn(list(fresh))
+        at = np.fromiter(map(self.memo.__getitem__, found), np.int64, len(found))
+        ids, ends = self._gather(at)
+        return ids, ends[counts]
