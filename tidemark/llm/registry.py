@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import binary, packing
+from tidemark.llm import binary, lines, mixture, packing
 
 
 def queries() -> dict:
     return {
         "op3_packing": packing.query,
+        "op4_mixture": mixture.query,
+        "op5_line_dedup": lines.query,
         "op9_token_binary": binary.query,
         "pipeline": lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op4_mixture": mixture.ORACLE, "op5_line_dedup": lines.ORACLE, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}
