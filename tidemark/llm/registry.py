@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import binary, lines, mixture, packing
+from tidemark.llm import binary, lines, mixture, packing, syncmers
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_packing": packing.query,
         "op4_mixture": mixture.query,
         "op5_line_dedup": lines.query,
+        "op8_syncmers": syncmers.query,
         "op9_token_binary": binary.query,
         "pipeline": lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir),
     }
