@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import binary, lines, mixture, packing, syncmers
+from tidemark.llm import binary, langid, lines, mixture, packing, syncmers
 
 
 def queries() -> dict:
     return {
+        "op2_langid": langid.query,
         "op3_packing": packing.query,
         "op4_mixture": mixture.query,
         "op5_line_dedup": lines.query,
