@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     shards = shards.withColumn("wanted", F.least(F.col("blocks") * max_repeat, wanted)).select("s", "shard", "words", "blocks", "wanted")
 
     line = Window.partitionBy("s", "shard").orderBy("doc_id", "size")
-    lain = placed.join(shards, ["s", "shard"], "left").withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
+    lain = placed.join(shards.hint("merge"), ["s", "shard"], "left").withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
     number = lambda x: F.expr(f"(({x} + 1) * blocks - 1) div words")  # noqa: E731  of the block that holds a word
     parts = lain.filter("size > 0").select("s", "shard", "doc_id", "size", "source_size", "target", "begin", "end", "words", "blocks", F.explode(F.sequence(number("begin"), number("end - 1"))).alias("block"))
     parts = parts.withColumn("part", F.least("end", F.expr("(block + 1) * words div blocks")) - F.greatest("begin", F.expr("block * words div blocks"))).drop("words", "blocks")
@@ -88,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     chosen = chosen.select("s", "shard", "block", times.alias("times"))
 
     row = ["s", "shard", "doc_id", "size", "source_size", "target", "begin", "end"]
-    taken = parts.join(chosen, ["s", "shard", "block"]).groupBy(*row).agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
+    taken = parts.join(chosen.hint("merge"), ["s", "shard", "block"]).groupBy(*row).agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
     return taken.select(*out).unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
 
@@ -99,7 +99,7 @@ def materialised(docs: DataFrame) -> DataFrame:
     one id and size share what these take."""
     taken = mix(docs).groupBy(F.col("doc_id").alias("of_"), F.col("size").alias("size_")).agg(F.floor(F.avg("taken")).alias("taken_"))
     sized = docs.withColumn("size__", F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long"))
-    rows = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("of_")) & (F.col("size__") == F.col("size_"))).filter("taken_ > 0")
+    rows = sized.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_")) & (F.col("size__") == F.col("size_"))).filter("taken_ > 0")
     rows = rows.withColumn("nth_", F.explode(F.expr("sequence(1, (taken_ + size_ - 1) div size_)"))).withColumn("left_", F.expr("taken_ - (nth_ - 1) * size_"))
     head = F.array_join(F.expr(r"slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(left_ as int))"), "")
     rows = rows.withColumn("cut_", F.col("left_") < F.col("size_")).withColumn("text", F.when(F.col("cut_"), head).otherwise(F.col("text")))
