@@ -49,17 +49,17 @@ def repeats(docs: DataFrame) -> DataFrame:
     single = texts.select("h", "doc_id", F.posexplode("ws").alias("pos", "w")).filter(F.col("w").isNotNull())
     place = F.struct("doc_id", "h", "pos")
     first = single.groupBy("w").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w", "first")
-    later = single.join(shared.settled(first, "windows"), "w").filter(place > F.col("first"))
+    later = single.join(shared.settled(first, "windows").hint("merge"), "w").filter(place > F.col("first"))
     starts = later.groupBy("h").agg(F.collect_set("pos").alias("starts"))
     every = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.get("ws", i).isNotNull())
-    found = texts.join(starts, "h", "left").filter("copies > 1 or starts is not null")
+    found = texts.join(starts.hint("merge"), "h", "left").filter("copies > 1 or starts is not null")
     return shared.settled(found.select("h", F.col("doc_id").alias("first_doc"), F.coalesce("starts", F.array().cast("array<int>")).alias("starts"), every.alias("every")), "repeats")
 
 
 def marked(docs: DataFrame) -> DataFrame:
     """docs with ``kept`` (the text that is left), ``n_lines`` and ``n_removed``."""
     found = repeats(docs).withColumnsRenamed({"h": "h_", "first_doc": "first_", "starts": "starts_", "every": "every_"})
-    rows = docs.join(found, F.xxhash64("text") == F.col("h_"), "left")
+    rows = docs.join(found.hint("merge"), F.xxhash64("text") == F.col("h_"), "left")
     is_first = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("first_")
     starts = F.when(F.col("text").isNull() | F.col("h_").isNull(), F.array().cast("array<int>")).when(is_first, F.col("starts_")).otherwise(F.col("every_"))
 
@@ -76,7 +76,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the texts that are left; n_chars is counted anew where a text has changed."""
-    rows = marked(docs.withColumnsRenamed({}))
+    rows = marked(docs)
     changed = F.col("n_removed") > 0
     rows = rows.withColumn("text", F.col("kept"))
     if "n_chars" in docs.columns:
