@@ -69,12 +69,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     sources = sources.withColumn("all_", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("all_")) / block).cast("long"))
     sources = apportioned(sources, ["all_"], "s", "target", "seats").withColumn("shards", F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.floor(F.col("n_docs") / SHARD_DOCS))))
     sources = sources.select(F.col("source").alias("of"), "s", "source_size", "target", "shards", F.col("quota").alias("source_quota"))
+    sources = shared.settled(sources, "sources")
 
     placed = sized.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", seeded("doc_id") % F.col("shards"))
     shards = placed.groupBy("s", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
     shards = apportioned(shards.filter("words > 0"), ["s"], "shard", "words", "source_quota").withColumn("blocks", F.ceil(F.col("words") / block))
     wanted = F.round(F.col("quota") * block * F.col("blocks") / F.col("words")).cast("long")
     shards = shards.withColumn("wanted", F.least(F.col("blocks") * max_repeat, wanted)).select("s", "shard", "words", "blocks", "wanted")
+    shards = shared.settled(shards, "shards")
 
     line = Window.partitionBy("s", "shard").orderBy("doc_id", "size")
     lain = placed.join(shards.hint("merge"), ["s", "shard"], "left").withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
