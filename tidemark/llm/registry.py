@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import binary, langid, lines, mixture, packing, syncmers
+from tidemark.llm import binary, langid, lines, mixture, neardup, packing, syncmers
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_packing": packing.query,
         "op4_mixture": mixture.query,
         "op5_line_dedup": lines.query,
+        "op6_neardup": neardup.query,
         "op8_syncmers": syncmers.query,
         "op9_token_binary": binary.query,
         "pipeline": lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir),
