@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import binary, langid, lines, mixture, neardup, packing, syncmers
+from tidemark.llm import binary, langid, lines, mixture, neardup, neighbours, packing, syncmers
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_neardup": neardup.query,
         "op8_syncmers": syncmers.query,
         "op9_token_binary": binary.query,
+        "op10_neighbours": neighbours.query,
         "pipeline": lambda spark, sf_dir: corpus_pipeline.run(spark, sf_dir),
     }
 
