@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import binary, langid, lines, mixture, neardup, neighbours, packing, syncmers
+from tidemark.llm import binary, langid, lines, mixture, neardup, neighbours, packing, suffixes, syncmers
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_mixture": mixture.query,
         "op5_line_dedup": lines.query,
         "op6_neardup": neardup.query,
+        "op7_suffixes": suffixes.query,
         "op8_syncmers": syncmers.query,
         "op9_token_binary": binary.query,
         "op10_neighbours": neighbours.query,
