@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import binary, langid, lines, mixture, neardup, neighbours, packing, suffixes, syncmers
+from tidemark.llm import binary, langid, lines, mixture, neardup, neighbours, packing, scoring, suffixes, syncmers
 
 
 def queries() -> dict:
     return {
+        "op1_scoring": scoring.query,
         "op2_langid": langid.query,
         "op3_packing": packing.query,
         "op4_mixture": mixture.query,
