@@ -5,12 +5,13 @@ the greatest hash of the set are kept: half the hash evaluations for as many sig
 variance. Bands of ROWS values are hashed into buckets; documents that share a bucket are candidates, and
 every link is confirmed on the full sets (64-bit shingle hashes).
 
-Equal sets are one node, however many documents have them. Buckets never yield all their pairs: in a first
-round each member is held against its buckets' least members only; components are found, and in each
-further round only members of different components that still share a bucket are held against each other,
-through one member per component (another one each round), until a last round tries every such pair that
-is left. So a group of thousands of near copies costs a few pairs per member, and no link between texts
-of different components is skipped. At similarity 0.85 a pair shares no bucket with probability 1e-8.
+Equal sets are one node, however many documents have them. Buckets do not yield all their pairs: first each
+member is held against its buckets' hubs only, the members that meet the most others, and components are
+found. Then the members of buckets that span components are joined on their rarest shingles: two sets of
+different components can be linked only if they share one of these, early enough in both sets for what
+follows to suffice (prefix and place filtering). So a group of thousands of near copies costs a few pairs
+per member, and no possible link between components is skipped. At similarity 0.85 a pair shares no bucket
+with probability 1e-8.
 
 Defined cases: null texts and those without words have the empty set and are linked with nothing; with
 fewer words than a shingle, the whole sequence is the only shingle; rows without a doc_id take part, and
@@ -24,14 +25,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import shared
 
 PERMUTATIONS, ROWS = 48, 4
-#: Rounds in which one member stands for its component.
-ROUNDS = 2
 
 _SEEDS = shared.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -174,36 +173,57 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, shingle, n, place): of each set the shingles, rarest first, of which two sets that can be
+    linked share one at least: all but percent of the set, and one. Those no other set has are left out."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("set"), strict=True):
+                own = np.frombuffer(raw.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own), pa.array(np.full(len(own), len(own)))], ["node", "shingle", "n"])
+
+    rows = sets.mapInArrow(spread, "node long, shingle long, n long")
+    often = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    rows = rows.join(often.hint("merge"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    rows = rows.withColumn("place", place).filter(f"place <= n - ({percent} * n + 99) div 100 + 1 and often > 1")
+    return rows.select("node", "shingle", "n", "place")
+
+
 def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): doc_id, node and n_shingles per document, and the label of each linked node."""
     rows = signed(docs, width)
     rows = shared.settled(rows, "signatures")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
-    buckets = nodes.select("node", "doc_id", F.explode("bands").alias("bucket"))
-    shared_ones = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("a")).filter("members > 1")
-    members = shared.settled(buckets.join(shared_ones.select("bucket", "a").hint("merge"), "bucket").select("bucket", "a", "node", "doc_id"), "buckets")
+    buckets = nodes.select("node", "doc_id", "n", F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = shared.settled(buckets.join(sizes.hint("merge"), "bucket"), "buckets")
     sets = shared.settled(candidate_sets(docs, members.select("node", "doc_id").distinct(), width), "sets")
 
-    tried = shared.settled(members.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    # a bucket's hub is the member that meets the most others, over all of its buckets
+    met = members.groupBy("node").agg(F.sum("size").alias("met"))
+    hubs = members.join(met.hint("merge"), "node").groupBy("bucket").agg(F.max(F.struct("met", "node", "n")).alias("hub"))
+    hubs = hubs.select("bucket", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"))
+    near = f"100 * least(n_a, n) >= {percent} * greatest(n_a, n)"
+    tried = members.join(hubs.hint("merge"), "bucket").filter("node <> a").filter(near)
+    tried = shared.settled(tried.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
     found = shared.settled(confirmed(tried, sets, percent), "links")
     labels = shared.settled(components(found), "labels")
-    for k in range(ROUNDS + 1):
-        now = members.select("bucket", "node").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        spread = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        now = shared.settled(now.join(spread.hint("merge"), "bucket"), "open")
-        others = now.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-        if k < ROUNDS:  # one member of each component, another one each time
-            others = others.groupBy("bucket", "other").agg(F.min_by("b", F.xxhash64(F.lit(k), "bucket", "b")).alias("b"))
-        pairs = now.join(others.hint("merge"), "bucket").filter("label <> other")
-        pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        pairs = shared.settled(pairs.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).hint("merge"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = shared.settled(confirmed(pairs, sets, percent), "links")
-        tried = tried.unionByName(pairs)
-        if not more.isEmpty():
-            found = found.unionByName(more)
-            labels = shared.settled(components(found), "labels")
+
+    now = members.select("bucket", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    spread = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
+    spanned = shared.settled(now.join(spread.hint("merge"), "bucket").select("node", "label").distinct(), "open")
+    rare = rare_first(sets.join(spanned.hint("merge"), "node", "left_semi"), percent)
+    rare = shared.settled(rare.join(spanned.hint("merge"), "node"), "rare")
+    other = rare.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("node", "n", "place", "label")))
+    # the first shingle that two sets share leaves so many, at most, for their intersection
+    enough = f"label <> label_b and node < node_b and (100 + {percent}) * (1 + least(n - place, n_b - place_b)) >= {percent} * (n + n_b)"
+    pairs = rare.join(other.hint("merge"), "shingle").filter(enough).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = shared.settled(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
+    more = shared.settled(confirmed(pairs, sets, percent), "links")
+    if not more.isEmpty():
+        labels = shared.settled(components(found.unionByName(more)), "labels")
     return rows, labels
 
 
