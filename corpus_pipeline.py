@@ -1,10 +1,31 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences: five stages, each of which works on all that the one
+before it has kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, shared, tokens
+from tidemark.llm import langid, lines, mixture, neardup, packing, shared, tokens
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language can be told; those without text or without a letter go."""
+    return langid.identified(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines of passages that stand earlier too."""
+    return lines.deduplicated(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words a shingle, a similarity of 0.8 or more."""
+    return neardup.documents(docs, width=5, percent=80)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them, cut where it takes a part."""
+    return mixture.materialised(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,9 +33,9 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokens.vocabulary())
 
 
-STAGES = [("packing", packed)]
+STAGES = [("language", language), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mixed), ("packing", packed)]
 
-#: Token ids and signatures are beyond SQL; tests hold run() against a brute-force version.
+#: Filters of n-grams, signatures and token ids are beyond SQL; tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
