@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at a time; one longer text is handled alone.
 SLICE_BYTES = 1 << 20
+#: Bytes in an Arrow batch on its way to a worker.
+ARROW_BYTES = "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         root = f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # what a worker holds of long texts
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

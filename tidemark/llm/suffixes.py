@@ -12,9 +12,11 @@ loser, the length of the prefix it shares with the last winner: unequal lengths
 looking at bytes, equal ones compare only what follows. The winner's length tells at once whether it equals
 its predecessor. Equal suffixes of a run are one entry, so a frequent passage costs a range one entry per run.
 
-The exact check. A string repeats only if its anchor does. Strings with a repeated anchor are hashed (64 bits
-and the bucket's, which come from another hash), the hashes meet in buckets, each block of texts sending each
-hash once, and the blocks learn which of theirs are found again. The bytes they cover are removed.
+The exact check. A string repeats only if its anchor does. Neighbouring strings with the same repeated anchor
+are a range; ranges that are equal as a whole repeat as a whole, and one hash decides them. Only where an
+anchor has ranges that differ (at the ends of passages) the strings of one range of each kind are hashed (64
+bits and the bucket's, which come from another hash), and the hashes meet in buckets. The bytes that repeated
+strings cover are removed.
 
 Defined cases: null texts are empty; a text shorter than LENGTH keeps every byte; equal texts of at least
 LENGTH bytes lose all, in each row, and so do rows listed twice; rows without a doc_id are handled like
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ LENGTH, KEY = 400, 64
 #: Suffixes in a run, in a chunk of a run, and in a range, about; keys that the driver sees, at most.
 RUN, CHUNK, RANGE, SPLITTERS = 1 << 18, 1024, 1 << 16, 4096
 #: Bytes of text in a block, and in a bucket's share of hashes, about.
-BLOCK_BYTES, BUCKET_BYTES = 1 << 21, 1 << 21
+BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 21
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -282,9 +285,9 @@ def blocked(docs: DataFrame, found: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([name, *columns], ["block", "docs", "hs", "texts", "places"])
 
         for batch in batches:
-            for row in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "h", "text", "places")), strict=True):
-                held.append(row)
-                size += len(row[2])
+            for row in _rows(batch, "doc_id", "h", "text", "places"):
+                held.append([x.as_py() for x in row])
+                size += len(held[-1][2])
                 if size >= BLOCK_BYTES:
                     yield out()
                     held, size = [], 0
@@ -294,36 +297,116 @@ def blocked(docs: DataFrame, found: DataFrame) -> DataFrame:
     return shared.settled(rows.mapInArrow(gather, BLOCKS), "blocks")
 
 
-def _hashes(texts: list[bytes], places: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block's texts: the strings whose anchors repeat, as starts, 64-bit hashes and bucket hashes."""
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    at = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-    starts, anchors, sums = anchored(data, at)
-    marked = np.zeros(len(data) + 1, bool)
-    for begin, own in zip(at, places, strict=False):
-        marked[np.asarray(own, np.int64) + begin] = True
-    starts = starts[marked[anchors]]
-    value = shared.span_hash(sums, starts, starts + LENGTH)
-    other = sum((data[starts + i].astype(np.uint64) << np.uint64(8 * (i % 8)) for i in range(0, 32)), np.zeros(len(starts), np.uint64))
-    return starts, value, shared.mix(other ^ np.uint64(0xA0761D6478BD642F))
+class Block:
+    """A block's texts end to end, and the ranges of neighbouring strings that share a repeated anchor:
+    first and last start, a hash of the anchor's k-mer, and a hash of all that the range's strings cover and
+    of the anchor's place in it."""
+
+    def __init__(self, texts: pa.ListScalar, places: pa.ListScalar):
+        data, at = shared.text_bytes(texts.values)
+        self.data, self.at = data[at[0] : at[-1]], at - at[0]
+        starts, anchors, self.sums = anchored(self.data, self.at)
+        marked = np.zeros(len(self.data) + 1, bool)
+        own = places.values
+        marked[own.flatten().to_numpy() + np.repeat(self.at[:-1], pa.compute.list_value_length(own).to_numpy())] = True
+        keep = marked[anchors]
+        starts, anchors = starts[keep], anchors[keep]
+        new = np.ones(len(starts), bool)
+        new[1:] = (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1)
+        begin = np.flatnonzero(new)
+        self.first, self.last = starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
+        anchor = anchors[begin]
+        self.keys = shared.span_hash(self.sums, anchor, anchor + KEY)
+        self.spans = shared.mix(shared.span_hash(self.sums, self.first, self.last + LENGTH) + (anchor - self.first).astype(np.uint64))
+
+    def strings(self, ranges: np.ndarray) -> np.ndarray:
+        """The starts of all strings of some ranges."""
+        n = self.last[ranges] - self.first[ranges] + 1
+        return np.arange(n.sum()) + np.repeat(self.first[ranges] - (np.cumsum(n) - n), n)
+
+    def hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of strings."""
+        other = np.zeros(len(starts), np.uint64)
+        for i in range(0, LENGTH, 25):
+            other = other * np.uint64(0x100000001B3) + self.data[starts + i]
+        return shared.span_hash(self.sums, starts, starts + LENGTH), shared.mix(other)
+
+
+def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
+    for k in np.flatnonzero(np.diff(cuts)):
+        yield int(k), order[cuts[k] : cuts[k + 1]]
+
+
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
+    for i in range(batch.num_rows):
+        yield [batch.column(x)[i] for x in names]
+
+
+REPEATED, OPEN = 1, 2
+
+
+def judged_ranges(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, ranges, flags): of ranges whose anchor stands elsewhere too. Equal ranges repeat as a whole; if
+    an anchor's ranges are not all equal, one of each kind is open: its strings may stand in the others."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, texts, places in _rows(batch, "block", "texts", "places"):
+                own = Block(texts, places)
+                for k, at in _by_bucket((own.keys % np.uint64(buckets)).astype(np.int64), buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name.as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint32), own.keys[at], own.spans[at]))], ["bucket", "block", "ranges", "keys", "spans"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        ranges, keys, spans = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("ranges", np.uint32), ("keys", np.uint64), ("spans", np.uint64)))
+        of = np.repeat(np.arange(len(ranges)), [len(x) for x in ranges])
+        ranges, keys, spans = np.concatenate(ranges), np.concatenate(keys), np.concatenate(spans)
+        order = np.lexsort((spans, keys))
+        new_key, new_kind = np.ones(len(order), bool), np.ones(len(order), bool)
+        new_key[1:] = keys[order][1:] != keys[order][:-1]
+        new_kind[1:] = new_key[1:] | (spans[order][1:] != spans[order][:-1])
+        kind, key = np.cumsum(new_kind) - 1, np.cumsum(new_key) - 1
+        times, kinds = np.bincount(kind), np.bincount(key[new_kind])
+        flags = np.zeros(len(order), np.uint8)
+        flags[order] = REPEATED * (times[kind] > 1) + OPEN * (new_kind & (kinds[key] > 1))
+        names, out = table.column("block").to_pylist(), []
+        cuts = np.searchsorted(of, np.arange(len(names) + 1))
+        for i, name in enumerate(names):
+            own = np.arange(cuts[i], cuts[i + 1])
+            own = own[flags[own] > 0]
+            if len(own):
+                out.append((name, ranges[own].tobytes(), flags[own].tobytes()))
+        return pa.table({"block": pa.array([x[0] for x in out], pa.string()), "ranges": pa.array([x[1] for x in out], pa.binary()), "flags": pa.array([x[2] for x in out], pa.binary())})
+
+    met = blocks.select("block", "texts", "places").mapInArrow(send, "bucket long, block string, ranges binary, keys binary, spans binary")
+    met = met.groupBy("bucket").applyInArrow(meet, "block string, ranges binary, flags binary")
+    return met.groupBy("block").agg(F.collect_list(F.struct("ranges", "flags")).alias("judged"))
+
+
+def _flags(own: Block, judged: pa.ListScalar) -> np.ndarray:
+    flags = np.zeros(len(own.first), np.uint8)
+    for x in judged.as_py():
+        flags[np.frombuffer(x["ranges"], np.uint32)] = np.frombuffer(x["flags"], np.uint8)
+    return flags
 
 
 def spans(blocks: DataFrame) -> DataFrame:
     """(doc_id, h, n_removed, n_spans, kept_sha256) of each text of a block that loses bytes."""
     size = blocks.select(F.sum(F.expr("aggregate(texts, 0L, (n, x) -> n + length(x))"))).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
+    judged = shared.settled(judged_ranges(blocks, buckets), "judged")
+    with_flags = blocks.join(judged.hint("merge"), "block")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, texts, places in zip(*(batch.column(x).to_pylist() for x in ("block", "texts", "places")), strict=True):
-                _, value, other = _hashes(texts, places)
+            for name, texts, places, flagged in _rows(batch, "block", "texts", "places", "judged"):
+                own = Block(texts, places)
+                value, other = own.hashes(own.strings(np.flatnonzero(_flags(own, flagged) & OPEN)))
                 unique, first, n = np.unique(value, return_index=True, return_counts=True)
-                bucket = (other[first] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for k in np.flatnonzero(np.diff(cuts)):
-                    own = order[cuts[k] : cuts[k + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([name]), pa.array([unique[own].tobytes()], pa.binary()), pa.array([np.packbits(n[own] > 1).tobytes()], pa.binary())], ["bucket", "block", "hashes", "twice"])
+                for k, at in _by_bucket((other[first] % np.uint64(buckets)).astype(np.int64), buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name.as_py()]), pa.array([unique[at].tobytes()], pa.binary()), pa.array([np.packbits(n[at] > 1).tobytes()], pa.binary())], ["bucket", "block", "hashes", "twice"])
 
     def meet(table: pa.Table) -> pa.Table:
         names = table.column("block").to_pylist()
@@ -335,28 +418,30 @@ def spans(blocks: DataFrame) -> DataFrame:
         kept = [x for x in kept if x[1]]
         return pa.table({"block": pa.array([x[0] for x in kept], pa.string()), "hashes": pa.array([x[1] for x in kept], pa.binary())})
 
-    met = blocks.select("block", "texts", "places").mapInArrow(send, "bucket long, block string, hashes binary, twice binary")
+    met = with_flags.select("block", "texts", "places", "judged").mapInArrow(send, "bucket long, block string, hashes binary, twice binary")
     met = met.groupBy("bucket").applyInArrow(meet, "block string, hashes binary").groupBy("block").agg(F.collect_list("hashes").alias("hashes"))
-    both = blocks.join(shared.settled(met, "met").hint("merge"), "block")
+    both = with_flags.join(shared.settled(met, "met").hint("merge"), "block", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs_, hs, texts, places, hashes in zip(*(batch.column(x).to_pylist() for x in ("docs", "hs", "texts", "places", "hashes")), strict=True):
-                starts, value, _ = _hashes(texts, places)
-                again = starts[np.isin(value, np.concatenate([np.frombuffer(x, np.uint64) for x in hashes]))]
-                total = sum(map(len, texts))
-                steps = np.zeros(total + 1, np.int64)
-                np.add.at(steps, again, 1)
-                np.add.at(steps, again + LENGTH, -1)
-                gone = np.cumsum(steps[:-1]) > 0
-                out, at = [], 0
-                for doc, h, text in zip(docs_, hs, texts, strict=True):
-                    own = gone[at : at + len(text)]
-                    at += len(text)
-                    if own.any():
-                        begins = int(own[0]) + int((own[1:] & ~own[:-1]).sum())
-                        kept = np.frombuffer(text, np.uint8)[~own].tobytes()
-                        out.append((doc, h, int(own.sum()), begins, hashlib.sha256(kept).hexdigest()))
+            for docs_, hs, texts, places, flagged, hashes in _rows(batch, "docs", "hs", "texts", "places", "judged", "hashes"):
+                own = Block(texts, places)
+                flags = _flags(own, flagged)
+                alone = own.strings(np.flatnonzero((flags & OPEN > 0) & (flags & REPEATED == 0)))
+                found = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in hashes.as_py() or [])])
+                alone = alone[np.isin(own.hashes(alone)[0], found)]
+                whole = flags & REPEATED > 0
+                steps = np.zeros(len(own.data) + 1, np.int64)
+                for begin, end in ((own.first[whole], own.last[whole] + LENGTH), (alone, alone + LENGTH)):
+                    np.add.at(steps, begin, 1)
+                    np.add.at(steps, end, -1)
+                gone, out = np.cumsum(steps[:-1]) > 0, []
+                for i, (doc, h) in enumerate(zip(docs_.as_py(), hs.as_py(), strict=True)):
+                    part = slice(own.at[i], own.at[i + 1])
+                    lost = gone[part]
+                    if lost.any():
+                        n = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum())
+                        out.append((doc, h, int(lost.sum()), n, hashlib.sha256(own.data[part][~lost].tobytes()).hexdigest()))
                 columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "h", "n_removed", "n_spans", "kept_sha256"])
