@@ -9,7 +9,7 @@ import unicodedata
 import numpy as np
 
 #: Distinct words whose ids a worker remembers; beyond that it starts afresh.
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 18
 #: Words in one call of the library, and the byte that keeps them apart.
 JOINED, _APART = 128, b"\x01"
 
@@ -31,9 +31,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), end_id
-        #: For text that the normaliser would not change but for white space, which no id depends on.
-        self.normal = Tokenizer.from_file(path)
-        self.normal.normalizer = None
+        #: Taken away for text that it would not change but for white space, which no id depends on.
+        self.normalizer = self.tokenizer.normalizer
         self.apart = self.tokenizer.encode("\x01", add_special_tokens=False).ids[0]
         self._reset()
 
@@ -51,11 +50,14 @@ class Encoder:
         plain = fresh if not odd else [w for w in fresh if _APART not in w]
         n_low = len(low := [w for w in plain if w == w.lower()])
         plain = low + [w for w in plain if w != w.lower()]
-        coded = []
-        for i in range(0, len(plain), JOINED):
-            text = b" \x01 ".join([*plain[i : i + JOINED], b""]).decode("utf-8", "replace")
-            normal = i + JOINED <= n_low and text == text.lower() and unicodedata.is_normalized("NFC", text)
-            coded.append((self.normal if normal else self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        texts = [b" \x01 ".join([*plain[i : i + JOINED], b""]).decode("utf-8", "replace") for i in range(0, len(plain), JOINED)]
+        normal = [(i + 1) * JOINED <= n_low and x == x.lower() and unicodedata.is_normalized("NFC", x) for i, x in enumerate(texts)]
+        coded: list[list[int]] = [[]] * len(texts)
+        for kind in (True, False):
+            self.tokenizer.normalizer = None if kind else self.normalizer
+            own = [i for i, x in enumerate(normal) if x == kind]
+            for i, x in zip(own, self.tokenizer.encode_batch_fast([texts[i] for i in own], add_special_tokens=False), strict=True):
+                coded[i] = x.ids
         n_texts = len(coded)
         for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False):
             coded.append(x.ids)
