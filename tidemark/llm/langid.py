@@ -134,10 +134,10 @@ def learned(docs: DataFrame, slots: int = SLOTS, probes: int = PROBES, relative:
     return Filter(languages, masks, probes, languages[0])
 
 
-def scored(docs: DataFrame, model: Filter, *keep: str) -> DataFrame:
-    """The kept columns with lang_pred and score: the winner's part of all corrected counts."""
+def scored(docs: DataFrame, model: Filter, *keep: str, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The kept columns with the winner and its part of all corrected counts, under names."""
     sent = docs.sparkSession.sparkContext.broadcast((model.languages, model.masks, model.probes, model.default))
-    schema = docs.select(*keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    schema = docs.select(*keep, F.lit("").alias(names[0]), F.lit(0.0).alias(names[1])).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filter(*sent.value)
@@ -156,7 +156,7 @@ def scored(docs: DataFrame, model: Filter, *keep: str) -> DataFrame:
                     known = (pred[lo:hi] != UND) & (total > 0)
                     pred[lo:hi][known] = np.array(f.languages, object)[best[known]]
                     sure[lo:hi][known] = counts[known, best[known]] / total[known]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(pred, pa.string()), pa.array(sure)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(pred, pa.string()), pa.array(sure)], [*keep, *names])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(score, schema)
 
@@ -174,7 +174,7 @@ def predicted(docs: DataFrame) -> DataFrame:
 def identified(docs: DataFrame) -> DataFrame:
     """docs without those in which no language can be told: no text or no letter."""
     model = learned(docs.filter(~held_out(F.col("doc_id"))))
-    return scored(docs, model, *docs.columns).filter(F.col("lang_pred") != UND).select(*docs.columns)
+    return scored(docs, model, *docs.columns, names=("__lang", "__score")).filter(F.col("__lang") != UND).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,36 +57,35 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """docs with ``kept`` (the text that is left), ``n_lines`` and ``n_removed``."""
-    found = repeats(docs).withColumnsRenamed({"h": "h_", "first_doc": "first_", "starts": "starts_", "every": "every_"})
-    rows = docs.join(found.hint("merge"), F.xxhash64("text") == F.col("h_"), "left")
-    is_first = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("first_")
-    starts = F.when(F.col("text").isNull() | F.col("h_").isNull(), F.array().cast("array<int>")).when(is_first, F.col("starts_")).otherwise(F.col("every_"))
+    """docs with ``__kept`` (the text that is left), ``__lines`` and ``__removed`` (how many there are and go)."""
+    found = repeats(docs).withColumnsRenamed({"h": "__h", "first_doc": "__first", "starts": "__starts", "every": "__every"})
+    rows = docs.join(found.hint("merge"), F.xxhash64(docs["text"]) == F.col("__h"), "left")
+    is_first = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))) == F.col("__first")
+    starts = F.when(F.col("text").isNull() | F.col("__h").isNull(), F.array().cast("array<int>")).when(is_first, F.col("__starts")).otherwise(F.col("__every"))
 
     def cut(both: Column) -> Column:
         lines = both["lines"]
         gone = F.flatten(F.transform(both["starts"], lambda p: F.array(p, p + 1, p + 2)))
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
         kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-        return F.struct(F.when(F.size(both["starts"]) > 0, kept).alias("kept"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(left)).cast("long").alias("n_removed"))
+        return F.struct(F.when(F.size(both["starts"]) > 0, kept).alias("kept"), F.size(lines).cast("long").alias("n"), (F.size(lines) - F.size(left)).cast("long").alias("removed"))
 
-    rows = rows.withColumn("cut_", F.when(F.col("text").isNotNull(), _let(F.struct(F.split("text", "\n").alias("lines"), starts.alias("starts")), cut)))
-    return rows.select(*docs.columns, F.coalesce("cut_.kept", "text").alias("kept"), F.coalesce("cut_.n_lines", F.lit(0).cast("long")).alias("n_lines"), F.coalesce("cut_.n_removed", F.lit(0).cast("long")).alias("n_removed"))
+    rows = rows.withColumn("__cut", F.when(F.col("text").isNotNull(), _let(F.struct(F.split("text", "\n").alias("lines"), starts.alias("starts")), cut)))
+    zero = F.lit(0).cast("long")
+    return rows.select(*docs.columns, F.coalesce("__cut.kept", "text").alias("__kept"), F.coalesce("__cut.n", zero).alias("__lines"), F.coalesce("__cut.removed", zero).alias("__removed"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with the texts that are left; n_chars is counted anew where a text has changed."""
-    rows = marked(docs)
-    changed = F.col("n_removed") > 0
-    rows = rows.withColumn("text", F.col("kept"))
+    rows = marked(docs).withColumn("text", F.col("__kept"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return marked(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+    return marked(docs).select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.sha2(F.col("__kept"), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""

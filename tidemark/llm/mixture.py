@@ -99,14 +99,14 @@ def materialised(docs: DataFrame) -> DataFrame:
     """The mix as documents: each as often as it is taken whole, and once more with its first words
     where a part is left; all columns are kept, n_chars is counted anew where text is cut. Documents of
     one id and size share what these take."""
-    taken = mix(docs).groupBy(F.col("doc_id").alias("of_"), F.col("size").alias("size_")).agg(F.floor(F.avg("taken")).alias("taken_"))
-    sized = docs.withColumn("size__", F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long"))
-    rows = sized.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("of_")) & (F.col("size__") == F.col("size_"))).filter("taken_ > 0")
-    rows = rows.withColumn("nth_", F.explode(F.expr("sequence(1, (taken_ + size_ - 1) div size_)"))).withColumn("left_", F.expr("taken_ - (nth_ - 1) * size_"))
-    head = F.array_join(F.expr(r"slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(left_ as int))"), "")
-    rows = rows.withColumn("cut_", F.col("left_") < F.col("size_")).withColumn("text", F.when(F.col("cut_"), head).otherwise(F.col("text")))
+    taken = mix(docs).groupBy(F.col("doc_id").alias("__of"), F.col("size").alias("__of_size")).agg(F.floor(F.avg("taken")).alias("__taken"))
+    rows = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long"))
+    rows = rows.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__of_size"))).filter("__taken > 0")
+    rows = rows.withColumn("__nth", F.explode(F.expr("sequence(1, (__taken + __size - 1) div __size)"))).withColumn("__left", F.expr("__taken - (__nth - 1) * __size"))
+    head = F.array_join(F.expr(r"slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(__left as int))"), "")
+    rows = rows.withColumn("__cut", F.col("__left") < F.col("__size")).withColumn("text", F.when(F.col("__cut"), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("cut_"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
 

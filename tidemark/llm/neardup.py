@@ -240,8 +240,8 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
 def documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group; rows without a doc_id stay."""
-    gone = deduplicated(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_"), "left_anti")
+    gone = deduplicated(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
