@@ -55,8 +55,8 @@ def apportioned(rows: DataFrame, group: list[str], key: str, weight: str, seats:
     rows = rows.withColumn("low", F.greatest(F.lit(0), F.floor(share(F.col(seats) - n) - 0.5)).cast("long"))
     rows = rows.withColumn("high", F.when(F.col(weight) > 0, F.ceil(share(F.col(seats) + n) + 0.5) + 1).otherwise(0).cast("long"))
     rows = rows.withColumn("left", F.col(seats) - F.sum("low").over(each))
-    listed = rows.filter(F.col("high") > F.col("low")).select(*group, key, weight, "left", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy((F.col(weight) / (2 * F.col("k") + 1)).desc(), key))
+    listed = rows.filter(F.col("high") > F.col("low")).select(*group, key, weight, "left", F.explode(F.sequence("low", F.col("high") - 1)).alias("__k"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy((F.col(weight) / (2 * F.col("__k") + 1)).desc(), key))
     won = listed.withColumn("rank", rank).filter(F.col("rank") <= F.col("left")).groupBy(*group, key).agg(F.count(F.lit(1)).alias("won"))
     return rows.join(won, [*group, key], "left").withColumn("quota", F.col("low") + F.coalesce("won", F.lit(0))).drop("low", "high", "left", "won")
 
