@@ -13,11 +13,13 @@ def _fields(spec: str) -> T.StructType:
     out = T.StructType()
     for item in spec.split(","):
         name, kind = item.split()
-        out.add(name.rstrip("?"), T.StructType.fromDDL(f"x {kind}")[0].dataType, name.endswith("?"))
+        out.add(name.rstrip("?"), _TYPES[kind], name.endswith("?"))
     return out
 
 
-CONTENT = T.StructType.fromDDL("title string, description string, price_micros long, currency string, availability string, attributes map<string,string>")
+_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "texts": T.MapType(T.StringType(), T.StringType())}
+
+CONTENT = _fields("title? string, description? string, price_micros? long, currency? string, availability? string, attributes? texts")
 
 LANDING = _fields("partition int, seq int, merchant_id string, merchant_product_id string, source_version long, op string, listing? string, submission_id string, change_index int, received_at timestamp")
 STORE = _fields("partition int, merchant_id string, merchant_product_id string, source_version long, content_hash string, is_tombstone boolean, title? string, description? string, price_micros? long, currency? string, availability? string, attributes? string, primary_category? string, classify_confidence? double, taxonomy_version? string, needs_reclassify boolean, updated_at timestamp")

@@ -123,7 +123,7 @@ class Ingest:
         if not begun and self.outcomes.head() > 0:
             raise Refused("outcomes without a checkpoint: a new one would report every change again")
 
-    def start(self, *, max_bytes: str | None = "8m", max_files: int = 100_000, **trigger) -> StreamingQuery:
+    def start(self, *, max_bytes: int | None = 8 << 20, max_files: int = 100_000, **trigger) -> StreamingQuery:
         """The running query; trigger: processingTime="60 seconds", or availableNow=True."""
         checkpoint = f"{self.root}/checkpoint"
         self.guard(checkpoint)

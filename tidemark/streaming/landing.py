@@ -59,7 +59,7 @@ class LandingLog:
     def read(self) -> DataFrame:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/log")
 
-    def stream(self, max_bytes: str | None = "8m", max_files: int = 100_000) -> DataFrame:
+    def stream(self, max_bytes: int | None = 8 << 20, max_files: int = 100_000) -> DataFrame:
         reader = self.spark.readStream.schema(SCHEMA).option("maxBytesPerTrigger", max_bytes) if max_bytes else self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files)
         return reader.parquet(f"{self.root}/log")
 
