@@ -46,7 +46,7 @@ def read_labels(spark: SparkSession, path: str, paths: DataFrame) -> tuple[DataF
     whole, repeated ids and categories that the taxonomy lacks, with the line's number."""
     raw = spark.read.format("binaryFile").load(path)
     digest = raw.select(F.sha2("content", 256)).first()[0]
-    text = raw.select(F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^\\ufeff", "").alias("value"))
+    text = raw.select(F.regexp_replace(F.decode("content", "UTF-8"), "^\\ufeff", "").alias("value"))
     lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).filter(F.trim("line") != "")
     rows = lines.select((F.col("n") + 1).alias("n"), F.from_json("line", "id string, title string, description string, category string").alias("r")).select("n", "r.*")
     known = paths.select(F.col("path").alias("known"))
