@@ -133,8 +133,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, en
                 path, first = f"{folder}/part-{uuid.uuid4().hex}", batch.column("doc_id")[0].as_py()
                 out = Writer(path, length, id_type(encoder.tokenizer.get_vocab_size()))
             data, at = shared.text_bytes(batch.column("text"))
-            for lo, hi in shared.slices(at):
-                out.add(batch.column("doc_id").slice(lo, hi - lo), *encoder.encode([data[at[i] : at[i + 1]].tobytes() for i in range(lo, hi)]))
+            for lo, hi in shared.slices(at, tokens.SLICE_BYTES):
+                out.add(batch.column("doc_id").slice(lo, hi - lo), *encoder.encode(data, at[lo : hi + 1]))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([out.n_docs]), pa.array([out.n_tokens])], ["path", "first_doc", "n_docs", "n_tokens"])

@@ -39,8 +39,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         for batch in batches:
             data, at = shared.text_bytes(batch.column("text"))
             keys = batch.column("doc_id")
-            for lo, hi in shared.slices(at):
-                ids, ends = encoder.encode([data[at[i] : at[i + 1]].tobytes() for i in range(lo, hi)])
+            for lo, hi in shared.slices(at, tokens.SLICE_BYTES):
+                ids, ends = encoder.encode(data, at[lo : hi + 1])
                 size = np.diff(ends)
                 n = -(-size // capacity)
                 row = np.repeat(np.arange(hi - lo), n)

@@ -66,10 +66,10 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = min(hi, n)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -110,10 +110,10 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts that lie end to end, A-Z as a-z, and the first word of each text
     (len(texts) + 1 numbers)."""
-    base, data = offsets[0], _LOWER[data[offsets[0] : offsets[-1]]]
+    base, data = offsets[0], LOWER[data[offsets[0] : offsets[-1]]]
     at, n = offsets - base, len(data)
     gap = np.ones(n + 2, bool)
-    gap[1:-1] = _SPACE[data]
+    gap[1:-1] = SPACE[data]
     begins, ends = ~gap[1:-1] & gap[:-2], ~gap[1:-1] & gap[2:]
     inner = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < n)]
     begins[inner] |= ~gap[1:-1][inner]

@@ -7,9 +7,14 @@ import os
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+
+from tidemark.llm import shared
 
 #: Distinct words whose ids a worker remembers; beyond that it starts afresh.
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 3 << 17
+#: Bytes of text encoded at a time.
+SLICE_BYTES = 1 << 22
 #: Words in one call of the library, and the byte that keeps them apart.
 JOINED, _APART = 128, b"\x01"
 
@@ -20,6 +25,37 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def pieces(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Parts of texts that lie end to end whose ids, one after the other, are the texts' ids: words, a mark
+    that ends a word after a letter by itself, and words of ASCII in lower case. Also the first part of each
+    text (len(at) numbers). A pre-token ends between a letter and a mark, and what has no letter beyond ASCII
+    is neither composed nor lowered in another way; ``<`` might begin a special token, whose case counts."""
+    data, at = data[at[0] : at[-1]], at - at[0]
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    space = shared.SPACE[data]
+    word = ~space
+    begin, last = edge[:-1].copy(), edge[1:].copy()
+    begin[1:] |= space[:-1]
+    last[:-1] |= space[1:]
+    mark = _MARK[data] & last
+    mark[1:] &= _LETTER[data[:-1]]
+    begin = (begin | mark) & word
+    first = np.searchsorted(np.flatnonzero(begin), at)
+    kept = data[word]
+    offsets = np.append(np.flatnonzero(begin[word]), len(kept))
+    if len(kept):
+        odd = np.logical_or.reduceat((kept > 127) | (kept == 60), offsets[:-1])
+        kept = np.where(np.repeat(odd, np.diff(offsets)), kept, shared.LOWER[kept])
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(kept)]), first
+
+
 class Encoder:
     """Ids of texts under a tokenizer whose normaliser and pre-tokenizer never join or look across
     ASCII white space, so that a text's ids are its words' ids, one after the other. (The word-level
@@ -48,8 +84,9 @@ class Encoder:
         other text has; words that hold this character are encoded alone."""
         odd = [w for w in fresh if _APART in w]
         plain = fresh if not odd else [w for w in fresh if _APART not in w]
-        n_low = len(low := [w for w in plain if w == w.lower()])
-        plain = low + [w for w in plain if w != w.lower()]
+        low = [w == w.lower() for w in plain]
+        n_low = sum(low)
+        plain = [*itertools.compress(plain, low), *itertools.compress(plain, (not x for x in low))] if n_low < len(plain) else plain
         texts = [b" \x01 ".join([*plain[i : i + JOINED], b""]).decode("utf-8", "replace") for i in range(0, len(plain), JOINED)]
         normal = [(i + 1) * JOINED <= n_low and x == x.lower() and unicodedata.is_normalized("NFC", x) for i, x in enumerate(texts)]
         coded: list[list[int]] = [[]] * len(texts)
@@ -85,18 +122,16 @@ class Encoder:
         where += np.arange(len(where))
         return self.pool[where], ends
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All texts' ids end to end, each text's followed by the end id, and len(texts) + 1 offsets."""
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that lie end to end: all ids, each text's followed by the end id, and len(at) offsets.
+        Words are found and told apart without making a Python object of each."""
         if len(self.memo) > MEMO_WORDS:
             self._reset()
-        found: list[bytes] = []
-        counts = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            found += text.split()
-            found.append(b"")
-            counts[i + 1] = len(found)
-        if fresh := set(found).difference(self.memo):
-            self._learn(list(fresh))
-        at = np.fromiter(map(self.memo.__getitem__, found), np.int64, len(found))
-        ids, ends = self._gather(at)
-        return ids, ends[counts]
+        words, first = pieces(data, at)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if fresh := [w for w in distinct if w not in self.memo]:
+            self._learn(fresh)
+        known = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))
+        ids, ends = self._gather(np.insert(known[coded.indices.to_numpy()], first[1:], 0))
+        return ids, ends[first + np.arange(len(first))]
