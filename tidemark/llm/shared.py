@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the driver and all executors share (spark.checkpoint.dir)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/tidemark-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # what a worker holds of long texts
