@@ -67,11 +67,11 @@ class Ingest:
         #: Called with the name of each step that is done; tests raise here.
         self.after: Callable[[str], None] = lambda step: None
 
-    def decide(self, batch: DataFrame, head: int) -> tuple[DataFrame, DataFrame]:
-        """(decided changes, writes with store columns) of a batch over the store at head."""
+    def decide(self, batch: DataFrame, head: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(decided changes, writes with store columns, the persisted changes) of a batch over the store at
+        head."""
         changes = changes_of(batch).withColumn("backfill", F.lit(False))
         picked = fold.pending(self.store.read(head), self.version, self.backfill)
-        # a broadcast of at most `backfill` picks' keys; the changes' keys may be many and are joined as they are
         picks = fold.picks(picked).withColumns({"backfill": F.lit(True), "storable": F.lit(True)})
         changes = changes.unionByName(picks, allowMissingColumns=True).persist()
         good = changes.filter("storable")
@@ -79,7 +79,7 @@ class Ingest:
         decided = fold.decided(good, stored).filter("not backfill").select("submission_id", "change_index", "outcome")
         failed = changes.filter("not storable").select("submission_id", "change_index", F.lit("failed").alias("outcome"))
         writes = fold.writes(good, stored, self.version, *_CONTENT).withColumnRenamed("hash", "content_hash")
-        return decided.unionByName(failed), writes
+        return decided.unionByName(failed), writes, changes
 
     def store_rows(self, writes: DataFrame) -> DataFrame:
         """Writes as store rows: those that need it classified, the others with their answer carried over."""
@@ -91,7 +91,7 @@ class Ingest:
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         began, head = time.monotonic(), self.store.head()
-        decided, writes = self.decide(batch, head)
+        decided, writes, changes = self.decide(batch, head)
         writes = writes.persist()
         try:
             planned = writes.count()
@@ -106,7 +106,7 @@ class Ingest:
             self.say({"type": "batch", "batch": batch_id, "writes": applied, "store_version": version, "ms": round((time.monotonic() - began) * 1000)})
         finally:
             writes.unpersist()
-            self.spark.catalog.clearCache()
+            changes.unpersist()
 
     def guard(self, checkpoint: str) -> None:
         """A checkpoint goes with the tables it was made with, and a store with outcomes has one."""
