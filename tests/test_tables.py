@@ -40,23 +40,42 @@ def test_merge_feed_rewind_compact_vacuum(spark, tmp_path):
     kinds = sorted((r["_commit_version"], r["merchant_product_id"], r["_change_type"]) for r in t.feed().collect())
     assert kinds == [(1, "a", "insert"), (1, "b", "insert"), (2, "a", "update_postimage"), (2, "a", "update_preimage"), (2, "c", "insert"), (3, "a", "update_postimage"), (3, "a", "update_preimage")]
     before = state(t.read())
-    t.compact(small_files=1)
-    assert state(t.read()) == before and t.feed(4).isEmpty()
+    t.merge(store_rows(spark, ("d", 1, "x", False)))
+    before = state(t.read())
+    assert t.compact(small_files=2) and t.feed(5).isEmpty()
+    assert state(t.read()) == before
     now = t._now() + 10_000
     assert t.vacuum(0, pins=(1,), now_ms=now) == [] and t.vacuum(60_000, now_ms=now) == []
     assert t.vacuum(0, now_ms=now) and state(t.read()) == before
     t.prune_log(t.head())
     assert state(VTable(spark, t.root).read()) == before and t.feed(1, 2).isEmpty()
     path = t.snapshot(f"{tmp_path}/snapshots", "20231114T221320Z")
-    assert spark.read.parquet(f"{path}/data").count() == 3 and json.loads((tmp_path / "snapshots/20231114T221320Z/pinned.json").read_text())["version"] == t.head()
+    assert spark.read.parquet(f"{path}/data").count() == 4 and json.loads((tmp_path / "snapshots/20231114T221320Z/pinned.json").read_text())["version"] == t.head()
 
 
-def test_only_touched_buckets_are_rewritten(spark, tmp_path):
-    t = VTable.create(spark, f"file://{tmp_path}/t", STORE, keyed=True)
+def test_only_touched_files_are_rewritten(spark, tmp_path):
+    t = VTable.create(spark, f"file://{tmp_path}/t", STORE, keyed=True, rows_per_file="20")
     t.merge(store_rows(spark, *((f"p{i}", 1, "x", False) for i in range(200))))
     before = set(t._live())
+    assert len(before) >= 10
     t.merge(store_rows(spark, ("p7", 2, "y", False)))
     assert len(before - set(t._live())) == 1
+    keys = store_rows(spark, ("p7", 0, "", False), ("p8", 0, "", False), ("none", 0, "", False))
+    assert len(t.holding(keys)) <= 3 and state(t.lookup(keys)) == {"p7": (2, "y", False), "p8": (1, "x", False)}
+    t.compact(small_files=2)
+    assert t.read().count() == 200
+
+
+def test_a_long_log_is_read_from_its_last_list(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidemark.sources.vtable.CHECKPOINT", 3)
+    t = VTable.create(spark, f"file://{tmp_path}/t", STORE, keyed=True)
+    for v in range(1, 8):
+        t.merge(store_rows(spark, ("a", v, "x", False), (f"k{v}", 1, "x", False)))
+    read = []
+    real = t._entry
+    t._entry = lambda v: read.append(v) or real(v)
+    assert state(t.read()) == {"a": (7, "x", False)} | {f"k{v}": (1, "x", False) for v in range(1, 8)} and min(read) == 6
+    assert state(t.read(4)) == {"a": (4, "x", False)} | {f"k{v}": (1, "x", False) for v in range(1, 5)}
 
 
 def test_one_writer_gets_a_version(spark, tmp_path):

@@ -75,7 +75,7 @@ class Ingest:
         picks = fold.picks(picked).withColumns({"backfill": F.lit(True), "storable": F.lit(True)})
         changes = changes.unionByName(picks, allowMissingColumns=True).persist()
         good = changes.filter("storable")
-        stored = stored_of(self.store.read(head)).join(good.select(*KEYS).distinct(), KEYS, "left_semi")
+        stored = stored_of(self.store.lookup(good, head))
         decided = fold.decided(good, stored).filter("not backfill").select("submission_id", "change_index", "outcome")
         failed = changes.filter("not storable").select("submission_id", "change_index", F.lit("failed").alias("outcome"))
         writes = fold.writes(good, stored, self.version, *_CONTENT).withColumnRenamed("hash", "content_hash")
