@@ -364,7 +364,7 @@ def landing_batch_cut(spark, d):
 
 
 @query(f"""WITH {X.LANDED}, p AS (SELECT *, (('0x' || substr(sha256(merchant_id || '/' || merchant_product_id), 9, 8))::BIGINT % 64)::INT AS partition FROM landed)
-SELECT pos, partition, row_number() OVER (PARTITION BY partition ORDER BY received_at, submission_id, change_index) AS nth FROM p""")
+SELECT pos, partition, row_number() OVER (PARTITION BY partition ORDER BY received_at, submission_id, change_index)::INT AS nth FROM p""")
 def replay_order(spark, d):
     rows = X.landed(spark, d).withColumn("partition", C.partition_of("merchant_id", "merchant_product_id"))
     return fold.replay_order(rows).select("pos", "partition", "nth")
