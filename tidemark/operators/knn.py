@@ -103,9 +103,9 @@ def grid(spark, taus: list[float]) -> DataFrame:
 
 def pick_tau(scored: DataFrame, taus: list[float], target: float, min_kept: int) -> DataFrame:
     """The least threshold that keeps enough answers of which enough are right; null if there is none.
-    scored: confidence, right. One pass: counts by step, then sums from above over the few steps."""
-    t = F.broadcast(grid(scored.sparkSession, taus))
-    kept = scored.crossJoin(t).filter(F.col("confidence") >= F.col("tau")).groupBy("tau").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.col("right").cast("int")).alias("hits"))
+    scored: confidence, right."""
+    steps = scored.withColumn("tau", F.explode(F.array(*(F.lit(float(t)) for t in taus))))
+    kept = steps.filter(F.col("confidence") >= F.col("tau")).groupBy("tau").agg(F.count(F.lit(1)).alias("kept"), F.sum(F.col("right").cast("int")).alias("hits"))
     good = (F.col("kept") >= max(1, min_kept)) & (F.col("hits") / F.col("kept") >= target)
     return kept.agg(F.min(F.when(good, F.col("tau"))).alias("tau"))
 

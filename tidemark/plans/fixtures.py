@@ -71,9 +71,8 @@ STORED = f"""{FIRST_HALF}, late AS (
 
 def halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     log = landed(spark, sf_dir)
-    half = log.agg(F.expr("(max(pos) + 1) div 2").alias("h"))
-    both = log.crossJoin(F.broadcast(half))  # one row
-    return both.filter("pos < h").drop("h"), both.filter("pos >= h").drop("h")
+    half = log.agg(F.expr("(max(pos) + 1) div 2")).first()[0]
+    return log.filter(F.col("pos") < half), log.filter(F.col("pos") >= half)
 
 
 def event_log(spark: SparkSession, sf_dir: str, decided: DataFrame) -> DataFrame:

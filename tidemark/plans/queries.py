@@ -146,8 +146,8 @@ SELECT {K}, source_version, hash, is_tombstone, CASE WHEN is_tombstone THEN 'del
   SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY _commit_version DESC) AS r FROM feed, cut WHERE _commit_version >= c) WHERE r = 1""")
 def collapse_feed(spark, d):
     rows = _feed(spark, d)
-    cut = X.landed(spark, d).agg(F.expr("max(_commit_version) div 2").alias("c"))
-    return feed.collapse(rows.crossJoin(F.broadcast(cut)).filter("_commit_version >= c").drop("c"))  # one row
+    cut = X.landed(spark, d).agg(F.expr("max(_commit_version) div 2")).first()[0]
+    return feed.collapse(rows.filter(F.col("_commit_version") >= cut))
 
 
 @query(f"""WITH {_FEED}, files AS (
@@ -611,8 +611,8 @@ def rename_longest_prefix(spark, d):
 @query(f"WITH {X.LANDED}, w AS (SELECT max(received_at) AS now, max(_commit_version) // 2 AS slow FROM landed) SELECT pos, received_at < now - INTERVAL 7 DAY - INTERVAL 1 HOUR AND _commit_version < slow AS prune FROM landed, w")
 def retention_prune(spark, d):
     log = X.landed(spark, d)
-    now = F.broadcast(log.agg(F.max("received_at").alias("now"), F.expr("max(_commit_version) div 2").alias("slow")))  # one row
-    return retention.landing(log.crossJoin(now), F.col("now"), F.col("slow")).select("pos", "prune")
+    now, slow = log.agg(F.max("received_at"), F.expr("max(_commit_version) div 2")).first()
+    return retention.landing(log, F.lit(now), F.lit(slow)).select("pos", "prune")
 
 
 @query("""WITH s AS (SELECT DISTINCT strftime(date_trunc('hour', ts), '%Y%m%dT%H0000Z') AS name, date_trunc('hour', ts) AS taken FROM events), r AS (SELECT *, row_number() OVER (ORDER BY name DESC) AS nth FROM s)
