@@ -318,6 +318,9 @@ class Block:
         anchor = anchors[begin]
         self.keys = shared.span_hash(self.sums, anchor, anchor + KEY)
         self.spans = shared.mix(shared.span_hash(self.sums, self.first, self.last + LENGTH) + (anchor - self.first).astype(np.uint64))
+        # equal ranges of a block are one kind, which its first range stands for
+        _, self.stands, self.kind, times = np.unique(np.stack([self.keys, self.spans], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        self.kind, self.many = self.kind.reshape(-1), times > 1
 
     def strings(self, ranges: np.ndarray) -> np.ndarray:
         """The starts of all strings of some ranges."""
@@ -348,27 +351,28 @@ REPEATED, OPEN = 1, 2
 
 
 def judged_ranges(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, ranges, flags): of ranges whose anchor stands elsewhere too. Equal ranges repeat as a whole; if
+    """(block, ranges, flags): of kinds of ranges whose anchor stands elsewhere too. Equal ranges repeat as a whole; if
     an anchor's ranges are not all equal, one of each kind is open: its strings may stand in the others."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, texts, places in _rows(batch, "block", "texts", "places"):
                 own = Block(texts, places)
-                for k, at in _by_bucket((own.keys % np.uint64(buckets)).astype(np.int64), buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name.as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint32), own.keys[at], own.spans[at]))], ["bucket", "block", "ranges", "keys", "spans"])
+                keys, spans = own.keys[own.stands], own.spans[own.stands]
+                for k, at in _by_bucket((keys % np.uint64(buckets)).astype(np.int64), buckets):
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name.as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint32), keys[at], spans[at], own.many[at].astype(np.uint8)))], ["bucket", "block", "ranges", "keys", "spans", "many"])
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.sort_by("block")
-        ranges, keys, spans = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("ranges", np.uint32), ("keys", np.uint64), ("spans", np.uint64)))
+        ranges, keys, spans, many = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("ranges", np.uint32), ("keys", np.uint64), ("spans", np.uint64), ("many", np.uint8)))
         of = np.repeat(np.arange(len(ranges)), [len(x) for x in ranges])
-        ranges, keys, spans = np.concatenate(ranges), np.concatenate(keys), np.concatenate(spans)
+        ranges, keys, spans, many = (np.concatenate(x) for x in (ranges, keys, spans, many))
         order = np.lexsort((spans, keys))
         new_key, new_kind = np.ones(len(order), bool), np.ones(len(order), bool)
         new_key[1:] = keys[order][1:] != keys[order][:-1]
         new_kind[1:] = new_key[1:] | (spans[order][1:] != spans[order][:-1])
         kind, key = np.cumsum(new_kind) - 1, np.cumsum(new_key) - 1
-        times, kinds = np.bincount(kind), np.bincount(key[new_kind])
+        times, kinds = np.bincount(kind, 1 + many[order]), np.bincount(key[new_kind])
         flags = np.zeros(len(order), np.uint8)
         flags[order] = REPEATED * (times[kind] > 1) + OPEN * (new_kind & (kinds[key] > 1))
         names, out = table.column("block").to_pylist(), []
@@ -380,15 +384,20 @@ def judged_ranges(blocks: DataFrame, buckets: int) -> DataFrame:
                 out.append((name, ranges[own].tobytes(), flags[own].tobytes()))
         return pa.table({"block": pa.array([x[0] for x in out], pa.string()), "ranges": pa.array([x[1] for x in out], pa.binary()), "flags": pa.array([x[2] for x in out], pa.binary())})
 
-    met = blocks.select("block", "texts", "places").mapInArrow(send, "bucket long, block string, ranges binary, keys binary, spans binary")
+    met = blocks.select("block", "texts", "places").mapInArrow(send, "bucket long, block string, ranges binary, keys binary, spans binary, many binary")
     met = met.groupBy("bucket").applyInArrow(meet, "block string, ranges binary, flags binary")
     return met.groupBy("block").agg(F.collect_list(F.struct("ranges", "flags")).alias("judged"))
 
 
 def _flags(own: Block, judged: pa.ListScalar) -> np.ndarray:
-    flags = np.zeros(len(own.first), np.uint8)
+    """Each range's flags; of a kind only the range that stands for it is open."""
+    kinds = np.zeros(len(own.stands), np.uint8)
     for x in judged.as_py():
-        flags[np.frombuffer(x["ranges"], np.uint32)] = np.frombuffer(x["flags"], np.uint8)
+        kinds[np.frombuffer(x["ranges"], np.uint32)] = np.frombuffer(x["flags"], np.uint8)
+    flags = kinds[own.kind]
+    others = np.ones(len(flags), bool)
+    others[own.stands] = False
+    flags[others] &= REPEATED
     return flags
 
 
