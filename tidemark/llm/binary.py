@@ -42,7 +42,8 @@ def id_type(n_ids: int) -> pa.DataType:
 
 
 def _opened(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
+    """The file system of a path or URI, Hadoop's ``file:/...`` included, and the path there."""
+    return pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
 
 
 class Writer:
