@@ -98,6 +98,58 @@ def test_materialised_takes_what_the_mix_says(spark, odd):
     assert words == sum(r["taken"] for r in mixture.mix(docs).collect())
 
 
+def plain_runs(docs):
+    """Texts that the blocks of the mix give, by doc_id; each document is one shard's only part."""
+    out = defaultdict(Counter)
+    total = duckdb.sql(f"SELECT doc_id, taken FROM ({mixture.ORACLE})").fetchall()
+    rows = {r[0]: r for r in docs.itertuples(index=False)}
+    for s, source in enumerate(sorted({r[2] for r in rows.values()})):
+        line = [(r[0], w) for r in sorted(rows.values()) if r[2] == source for w in r[1].split()]
+        blocks = -(-len(line) // 32)
+        seed = lambda b: int(hashlib.md5(f"mix-1/{s}/0/{b}".encode()).hexdigest()[:8], 16)  # noqa: E731, B023
+        edges = [b * len(line) // blocks for b in range(blocks + 1)]
+        order = sorted(range(blocks), key=lambda b: (seed(b), b))
+        # the seats of the source's one shard, from the words that the SQL says are taken
+        words = sum(n for key, n in total if rows[key][2] == source)
+        wanted = next(n for n in range(3 * blocks + 1) if sum((n // blocks + (i < n % blocks)) * (edges[b + 1] - edges[b]) for i, b in enumerate(order)) == words)
+        times = {b: wanted // blocks + (i < wanted % blocks) for i, b in enumerate(order)}
+        of = [times[next(b for b in range(blocks) if edges[b] <= i < edges[b + 1])] for i in range(len(line))]
+        at = 0
+        while at < len(line):
+            end = at
+            while end < len(line) and line[end][0] == line[at][0]:
+                end += 1
+            low, text = min(of[at:end]), " ".join(w for _, w in line[at:end])
+            out[line[at][0]][text] += low
+            run = []
+            for i in range(at, end + 1):
+                if i < end and of[i] > low:
+                    run.append(line[i][1])
+                elif run:
+                    out[line[at][0]][" ".join(run)] += 1
+                    run = []
+            at = end
+    return {k: +v for k, v in out.items() if +v}
+
+
+def test_materialised_emits_the_chosen_blocks(spark):
+    import pandas as pd
+
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(20 + 97 * i % 400)), "en", "abc"[i % 3]) for i in range(60)]
+    documents = pd.DataFrame([(r[0], r[1], r[3]) for r in rows], columns=["doc_id", "text", "source"])
+    duckdb.register("documents", documents)
+    try:
+        want = plain_runs(documents)
+    finally:
+        duckdb.unregister("documents")
+    got = defaultdict(Counter)
+    for r in mixture.materialised(frame(spark, rows, extra=True)).collect():
+        got[r["doc_id"]][r["text"]] += 1
+        assert r["n_chars"] == len(r["text"])
+    assert got == want
+    assert any(not rows[k][1].startswith(t) for k, v in got.items() for t in v)
+
+
 def test_mix_nothing(spark):
     assert mixture.mix(frame(spark, [])).collect() == []
     assert all(r["taken"] == 0 and r["target"] == 0 for r in mixture.mix(frame(spark, [(1, None), (2, "")])).collect())

@@ -61,8 +61,9 @@ def apportioned(rows: DataFrame, group: list[str], key: str, weight: str, seats:
     return rows.join(won, [*group, key], "left").withColumn("quota", F.col("low") + F.coalesce("won", F.lit(0))).drop("low", "high", "left", "won")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target (its source's), taken."""
+def chosen_parts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(parts, placed). parts has one row per document and block that share words: the document, the block,
+    the first word of the part in the document, its words, and how many times the mix takes the block."""
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long").alias("size"))
     sized = shared.settled(sized, "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_repeat)
@@ -81,33 +82,67 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     line = Window.partitionBy("s", "shard").orderBy("doc_id", "size")
     lain = placed.join(shards.hint("merge"), ["s", "shard"], "left").withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
     number = lambda x: F.expr(f"(({x} + 1) * blocks - 1) div words")  # noqa: E731  of the block that holds a word
-    parts = lain.filter("size > 0").select("s", "shard", "doc_id", "size", "source_size", "target", "begin", "end", "words", "blocks", F.explode(F.sequence(number("begin"), number("end - 1"))).alias("block"))
-    parts = parts.withColumn("part", F.least("end", F.expr("(block + 1) * words div blocks")) - F.greatest("begin", F.expr("block * words div blocks"))).drop("words", "blocks")
+    parts = lain.filter("size > 0").select("s", "shard", "doc_id", "source", "size", "source_size", "target", "begin", "end", "words", "blocks", F.explode(F.sequence(number("begin"), number("end - 1"))).alias("block"))
+    parts = parts.withColumn("first", F.greatest("begin", F.expr("block * words div blocks")))
+    parts = parts.withColumn("part", F.least("end", F.expr("(block + 1) * words div blocks")) - F.col("first")).withColumn("first", F.col("first") - F.col("begin")).drop("words", "blocks")
 
     chosen = shards.select("s", "shard", "blocks", "wanted", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     order = Window.partitionBy("s", "shard").orderBy(seeded("s", "shard", "block"), "block")
     times = F.expr("wanted div blocks") + (F.row_number().over(order) <= F.col("wanted") % F.col("blocks")).cast("long")
     chosen = chosen.select("s", "shard", "block", times.alias("times"))
+    return parts.join(chosen.hint("merge"), ["s", "shard", "block"]), placed
 
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target (its source's), taken."""
+    parts, placed = chosen_parts(docs, weights, max_repeat, block)
     row = ["s", "shard", "doc_id", "size", "source_size", "target", "begin", "end"]
-    taken = parts.join(chosen.hint("merge"), ["s", "shard", "block"]).groupBy(*row).agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
+    taken = parts.groupBy(*row).agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
     return taken.select(*out).unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
 
 
+def runs(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, begin (in its shard), whole and runs of each document of which the mix takes
+    words: how often it takes all of them, and (first, words) of each run of neighbouring blocks that it
+    takes once more. A shard's blocks are taken n or n + 1 times, so that these are all."""
+    row = ["s", "shard", "doc_id", "source", "size", "begin"]
+    line = Window.partitionBy(*row).orderBy("block")
+    parts = chosen_parts(docs)[0].withColumn("turn", (F.col("times") != F.lag("times").over(line)).cast("int"))
+    parts = parts.withColumn("run", F.sum(F.coalesce("turn", F.lit(0))).over(line))
+    each = parts.groupBy(*row, "run").agg(F.min("times").alias("times"), F.min("first").alias("first"), F.sum("part").alias("words"))
+    out = each.groupBy(*row).agg(F.min("times").alias("whole"), F.collect_list(F.struct("first", "words", "times")).alias("runs"))
+    return out.select("doc_id", "source", "size", "begin", "whole", F.filter("runs", lambda r: r["times"] > F.col("whole")).alias("runs")).filter("whole > 0 or size(runs) > 0")
+
+
 def materialised(docs: DataFrame) -> DataFrame:
-    """The mix as documents: each as often as it is taken whole, and once more with its first words
-    where a part is left; all columns are kept, n_chars is counted anew where text is cut. Documents of
-    one id and size share what these take."""
-    taken = mix(docs).groupBy(F.col("doc_id").alias("__of"), F.col("size").alias("__of_size")).agg(F.floor(F.avg("taken")).alias("__taken"))
-    rows = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long"))
-    rows = rows.join(taken.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__of")) & (F.col("__size") == F.col("__of_size"))).filter("__taken > 0")
-    rows = rows.withColumn("__nth", F.explode(F.expr("sequence(1, (__taken + __size - 1) div __size)"))).withColumn("__left", F.expr("__taken - (__nth - 1) * __size"))
-    head = F.array_join(F.expr(r"slice(split(text, '(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])'), 1, cast(__left as int))"), "")
-    rows = rows.withColumn("__cut", F.col("__left") < F.col("__size")).withColumn("text", F.when(F.col("__cut"), head).otherwise(F.col("text")))
+    """The mix as documents: each as often as all its blocks are taken, and a row for each run of its
+    blocks that is taken once more, from the run's first word to its last; all columns are kept, n_chars is
+    counted anew where text is cut. Documents of one id, source and size meet their places in the order
+    of their texts' hashes; texts are shuffled once, together with the places."""
+    size = F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), size.alias("__size"), F.lit(1).alias("__kind"), F.xxhash64("text").alias("__order"), F.struct(*docs.columns).alias("__row"))
+    places = runs(docs).select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.lit(0).alias("__kind"), F.col("begin").alias("__order"), F.col("whole").alias("__whole"), F.col("runs").alias("__runs"))
+    both = rows.filter("__size > 0").unionByName(places, allowMissingColumns=True)
+    group = Window.partitionBy("__doc", "__source", "__size")
+    nth = F.row_number().over(group.orderBy("__kind", "__order")) - F.col("__kind") * F.sum(1 - F.col("__kind")).over(group)
+    pair = Window.partitionBy("__doc", "__source", "__size", "__nth").orderBy("__kind")
+    both = both.withColumn("__nth", nth).withColumn("__whole", F.lag("__whole").over(pair)).withColumn("__runs", F.lag("__runs").over(pair)).filter("__kind = 1 and __whole is not null")
+
+    text = F.col("__row.text")
+    words = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")  # each with the white space before it
+    piece = lambda w, r: F.array_join(F.slice(w, (r["first"] + 1).cast("int"), r["words"].cast("int")), "")
+    begun = lambda w, r: F.when(r["first"] > 0, F.regexp_replace(piece(w, r), r"^[\x20\x09-\x0D]+", "")).otherwise(piece(w, r))
+    # the words are found once per document, not once per run
+    cut = F.element_at(F.transform(F.array(words), lambda w: F.transform("__runs", lambda r: F.struct(begun(w, r).alias("text"), F.lit(True).alias("cut")))), 1)
+    whole = F.array_repeat(F.struct(text.alias("text"), F.lit(False).alias("cut")), F.col("__whole").cast("int"))
+    taken = F.when(F.size("__runs") > 0, F.concat(whole, cut)).otherwise(whole)
+    others = [x for x in docs.columns if x != "text"]
+    out = both.select(*(F.col(f"__row.`{x}`").alias(x) for x in others), F.explode(taken).alias("__taken"))
+    out = out.withColumn("text", F.col("__taken.text"))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("__taken.cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
