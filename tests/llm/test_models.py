@@ -112,6 +112,36 @@ def test_neighbours(spark):
     assert len(got) == 14 and hits / 70 >= 0.9
 
 
+def test_neighbours_beside_a_hot_vector(spark):
+    random = np.random.default_rng(5)
+    data = random.normal(size=(3000, 48)).astype(np.float32)
+    data[1::3] = data[1]
+    x = data.astype(np.float64)
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    found = {}
+    for r in neighbours.search(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(data)]), every=25, sample=1500, candidates=900).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = [q for q in range(0, 3000, 25) if q % 3 != 1]
+    cos = x[asked] @ x.T
+    cos[np.arange(len(asked)), asked] = -2
+    hits = [len(found[q] & set(np.lexsort((np.arange(3000), -np.round(c, 9)))[:5].tolist())) for q, c in zip(asked, cos, strict=True)]
+    assert sum(hits) / (5 * len(asked)) >= 0.9
+
+
+def test_copies_count_once_in_the_budget():
+    random = np.random.default_rng(6)
+    sample = random.normal(size=(900, 16))
+    sample[::3] = sample[0]
+    sample /= np.sqrt((sample * sample).sum(1, keepdims=True))
+    forest = neighbours.Forest.fit(sample, trees=4, leaf=16)
+    for i in range(0, 900, 50):
+        leaves = set(forest.search(sample[i], 400))
+        routed = forest.route(sample)
+        inside = np.array([not leaves.isdisjoint(r) for r in routed.tolist()])
+        # a vector on a plane may be routed to the other side of it
+        assert len(np.unique(sample[inside], axis=0)) >= 390
+
+
 def test_few_and_no_neighbours(spark):
     assert [(r["query_id"], r["vec_id"]) for r in neighbours.search(vectors(spark, [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0)])).collect()] == [(0, 1)]
     assert neighbours.search(vectors(spark, [(0, [1.0], 0)])).collect() == []

@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-Each tree is fitted on a bounded sample (SAMPLE vectors, by seeded hash): a node's hyperplane lies half way
-between two of its vectors, and a node of at most LEAF sampled vectors is a leaf. Every vector of the table
-is then routed through every tree. A query walks all trees at once from one priority queue: the branch
-whose worst margin on the way down is best is followed next, until its leaves hold CANDIDATES sampled
-vectors' worth of rows. All rows in those leaves are compared exactly, in double precision on the original
+Each tree is fitted on a bounded sample (SAMPLE distinct vectors, by seeded hash): a node's hyperplane lies
+half way between two of its vectors, and a node of at most LEAF sampled vectors is a leaf. Every vector of the
+table is then routed through every tree. A query walks all trees at once from one priority queue: the branch
+whose worst margin on the way down is best is followed next, until its leaves hold CANDIDATES distinct sampled
+vectors: equal vectors count once, and so does one that is met in several trees. All rows in those leaves are compared exactly, in double precision on the original
 vectors, in blocks of one leaf's rows against the queries that visit it.
 
 The forest is small: TREES * SAMPLE / LEAF nodes at most, whatever the table. Leaves grow with the table;
@@ -36,15 +36,17 @@ QUERY_EVERY, K = 50, 5
 
 
 class Forest:
-    """Trees as arrays of nodes: hyperplane, offset, children (a leaf's are its own number, -1)."""
+    """Trees as arrays of nodes: hyperplane, offset, children (a leaf's are its own number, -1); members has
+    the numbers of each leaf's sampled vectors, end to end, bounds where each node's begin."""
 
-    def __init__(self, planes: np.ndarray, offsets: np.ndarray, children: np.ndarray, sizes: np.ndarray, roots: np.ndarray):
-        self.planes, self.offsets, self.children, self.sizes, self.roots = planes, offsets, children, sizes, roots
+    def __init__(self, planes: np.ndarray, offsets: np.ndarray, children: np.ndarray, members: np.ndarray, bounds: np.ndarray, roots: np.ndarray):
+        self.planes, self.offsets, self.children, self.members, self.bounds, self.roots = planes, offsets, children, members, bounds, roots
 
     @classmethod
     def fit(cls, sample: np.ndarray, trees: int = TREES, leaf: int = LEAF, seed: int = SEED) -> Forest:
-        """sample: unit vectors."""
-        planes, offsets, children, sizes, roots = [], [], [], [], []
+        """sample: unit vectors; equal ones, but for rounding, are one."""
+        sample = sample[np.sort(np.unique(np.round(sample, 9) + 0.0, axis=0, return_index=True)[1])]
+        planes, offsets, children, members, roots = [], [], [], [], []
         random = np.random.default_rng(seed)
         zero = np.zeros(sample.shape[1])
 
@@ -53,7 +55,7 @@ class Forest:
             planes.append(zero)
             offsets.append(0.0)
             children.append((at, -1))
-            sizes.append(len(rows))
+            members.append(rows)
             if len(rows) <= leaf or depth > 40:
                 return at
             for _ in range(4):
@@ -66,7 +68,7 @@ class Forest:
                 offset = float(np.median(side)) if random.random() < 0.5 else float(plane @ (a + b) / 2)
                 right = side > offset
                 if 0.05 * len(rows) < right.sum() < 0.95 * len(rows):
-                    planes[at], offsets[at] = plane, offset
+                    planes[at], offsets[at], members[at] = plane, offset, rows[:0]
                     left_child = grow(rows[~right], depth + 1)
                     children[at] = (left_child, grow(rows[right], depth + 1))
                     return at
@@ -74,7 +76,8 @@ class Forest:
 
         for _ in range(trees):
             roots.append(grow(np.arange(len(sample)), 0))
-        return cls(np.array(planes), np.array(offsets), np.array(children), np.array(sizes), np.array(roots))
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in members])])
+        return cls(np.array(planes), np.array(offsets), np.array(children), np.concatenate(members), bounds, np.array(roots))
 
     def route(self, vectors: np.ndarray) -> np.ndarray:
         """Each vector's leaf in each tree."""
@@ -89,16 +92,19 @@ class Forest:
         return out
 
     def search(self, vector: np.ndarray, wanted: int) -> list[int]:
-        """Leaves to look into, best first, over all trees from one queue."""
+        """Leaves to look into, best first, over all trees from one queue, until they hold as many distinct
+        sampled vectors as wanted."""
         queue = [(-np.inf, int(r)) for r in self.roots]
         margins = self.planes @ vector - self.offsets
-        found, held = [], 0
+        found, held, met = [], 0, np.zeros(int(self.members.max(initial=-1)) + 1, bool)
         while queue and held < wanted:
             worst, node = heapq.heappop(queue)
             left, right = self.children[node]
             if right < 0:
                 found.append(node)
-                held += int(self.sizes[node])
+                own = self.members[self.bounds[node] : self.bounds[node + 1]]
+                held += len(own) - int(met[own].sum())
+                met[own] = True
                 continue
             margin = float(margins[node])
             heapq.heappush(queue, (max(worst, margin), int(left)))
@@ -152,12 +158,13 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, trees: int
         return spark.createDataFrame([], schema)
     width = widths[0]["width"]
     stored = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
-    drawn = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id")).limit(sample).select("embedding").toArrow()  # at most sample rows
+    # copies of a vector would take the places of others
+    drawn = rows.filter(F.size("embedding") == width).select("embedding").distinct().orderBy(F.xxhash64(F.lit(SEED), "embedding")).limit(sample).toArrow()  # at most sample rows
     values, _ = units(drawn["embedding"].combine_chunks(), width)
     if not len(values):
         return spark.createDataFrame([], schema)
     forest = Forest.fit(normed(values), trees, leaf)
-    sent = spark.sparkContext.broadcast((forest.planes, forest.offsets, forest.children, forest.sizes, forest.roots))
+    sent = spark.sparkContext.broadcast((forest.planes, forest.offsets, forest.children, forest.members, forest.bounds, forest.roots))
     
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows as members of their leaves, cut into parts; queries as visits to leaves."""
