@@ -130,6 +130,15 @@ def test_vectors_by_class(spark):
     assert len(first["paths"]) == 2 and first["paths"][0] == truth[first["query_id"]]
 
 
+def test_shortlist_holds_k_categories_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(knn, "INDEX_BLOCK", 8)
+    texts = [(i, [1.0, 0.001 * i], "a") for i in range(60)] + [(100 + i, [0.5, 1.0 + i], "b") for i in range(5)] + [(200, [-1.0, -0.1], "c")]
+    index = spark.createDataFrame(texts, "id long, vector array<double>, label string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, vector array<double>")
+    got = {r["query_id"]: r["paths"] for r in knn.shortlist(asked, index, 3).collect()}
+    assert got == {1: ["a", "b", "c"], 2: ["b", "a", "c"]}
+
+
 def test_votes_that_are_equal_go_to_the_nearest(spark):
     near = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.3, 2), (1, "b", 0.2, 3), (2, "a", -0.5, 1)], "query_id long, label string, sim double, place int")
     got = {r["query_id"]: (r["label"], r["confidence"]) for r in knn.vote(near).collect()}

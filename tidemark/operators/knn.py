@@ -27,9 +27,20 @@ def _blocked(rows: DataFrame, block: int, name: str) -> tuple[DataFrame, int]:
     return rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks
 
 
-def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, label, sim, place): each query's k most similar rows by the dot product of unit
-    vectors, ties to the smaller id. queries: id, vector; index: id, vector, label."""
+def _best_of_labels(sims: np.ndarray, own: np.ndarray, labels: pa.Array, k: int) -> np.ndarray:
+    """Per query the columns of the k labels whose best row is most similar, that row of each; own: the
+    columns' ids, ascending."""
+    codes = labels.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    columns = np.argsort(codes, kind="stable")
+    groups = np.split(columns, np.flatnonzero(np.diff(codes[columns])) + 1)
+    best = np.stack([g[sims[:, g].argmax(axis=1)] for g in groups], axis=1)
+    order = np.lexsort((own[best], -np.round(np.take_along_axis(sims, best, 1), 9)), axis=1)[:, :k]
+    return np.take_along_axis(best, order, 1)
+
+
+def _found(queries: DataFrame, index: DataFrame, k: int, of_labels: bool = False) -> DataFrame:
+    """(query_id, id, label, sim): each part's k most similar rows of each query; or, of its labels, the
+    most similar row each of the k best."""
     queries, n_q = _blocked(queries.select("id", "vector"), QUERY_BLOCK, "q")
     index, n_i = _blocked(index.select("id", "vector", "label"), INDEX_BLOCK, "i")
     asked = queries.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))).withColumn("label", F.lit(None).cast("string"))
@@ -47,12 +58,18 @@ def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
         own, rows = own[order], vectors[~asks][order]
         labels = table.column("label").take(pa.array(np.flatnonzero(~asks)[order]))
         sims = vectors[asks] @ rows.T
-        n = min(k, len(own))
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+        top = _best_of_labels(sims, own, labels.combine_chunks(), k) if of_labels else np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        n = top.shape[1]
         flat = top.reshape(-1)
         return pa.table({"query_id": pa.array(np.repeat(ids[asks], n)), "id": pa.array(own[flat]), "label": labels.take(pa.array(flat)).combine_chunks(), "sim": pa.array(np.take_along_axis(sims, top, 1).reshape(-1))})
 
-    found = both.select("q", "i", "id", "vector", "label", "asks").groupBy("q", "i").applyInArrow(best, "query_id long, id long, label string, sim double")
+    return both.select("q", "i", "id", "vector", "label", "asks").groupBy("q", "i").applyInArrow(best, "query_id long, id long, label string, sim double")
+
+
+def nearest(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, label, sim, place): each query's k most similar rows by the dot product of unit
+    vectors, ties to the smaller id. queries: id, vector; index: id, vector, label."""
+    found = _found(queries, index, k)
     line = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "id")
     return found.withColumn("place", F.row_number().over(line)).filter(F.col("place") <= k)
 
@@ -76,8 +93,7 @@ def best_text(queries: DataFrame, texts: DataFrame, threshold: float) -> DataFra
 
 def shortlist(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(query_id, paths): the k categories whose best text is most similar, best first."""
-    n = max(k, texts.count()) if texts.count() <= 4 * INDEX_BLOCK else 4 * k
-    best = nearest(queries, texts, n).groupBy("query_id", "label").agg(F.max("sim").alias("sim"), F.min_by("id", F.struct(-F.col("sim"), "id")).alias("first"))
+    best = _found(queries, texts, k, of_labels=True).groupBy("query_id", "label").agg(F.max("sim").alias("sim"), F.min_by("id", F.struct(-F.col("sim"), "id")).alias("first"))
     line = Window.partitionBy("query_id").orderBy(F.round("sim", 9).desc(), "first")
     kept = best.withColumn("place", F.row_number().over(line)).filter(F.col("place") <= k)
     return kept.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "label"))), lambda x: x["label"]).alias("paths"))
