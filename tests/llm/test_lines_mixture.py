@@ -103,12 +103,13 @@ def plain_runs(docs):
     out = defaultdict(Counter)
     total = duckdb.sql(f"SELECT doc_id, taken FROM ({mixture.ORACLE})").fetchall()
     rows = {r[0]: r for r in docs.itertuples(index=False)}
-    for s, source in enumerate(sorted({r[2] for r in rows.values()})):
+    for s, source in enumerate(sorted({r[2] for r in rows.values()}, key=lambda x: (x is None, x or ""))):
         line = [(r[0], w) for r in sorted(rows.values()) if r[2] == source for w in r[1].split()]
         blocks = -(-len(line) // 32)
-        seed = lambda b: int(hashlib.md5(f"mix-1/{s}/0/{b}".encode()).hexdigest()[:8], 16)  # noqa: E731, B023
+        drawn = lambda x: int(hashlib.md5(f"mix-1/{x}/{s}/0".encode()).hexdigest()[:8], 16)  # noqa: E731, B023
+        step, shift = mixture.STEPS[drawn("step") % len(mixture.STEPS)], drawn("shift")
         edges = [b * len(line) // blocks for b in range(blocks + 1)]
-        order = sorted(range(blocks), key=lambda b: (seed(b), b))
+        order = sorted(range(blocks), key=lambda b: (b * step + shift) % blocks)
         # the seats of the source's one shard, from the words that the SQL says are taken
         words = sum(n for key, n in total if rows[key][2] == source)
         wanted = next(n for n in range(3 * blocks + 1) if sum((n // blocks + (i < n % blocks)) * (edges[b + 1] - edges[b]) for i, b in enumerate(order)) == words)
@@ -120,6 +121,7 @@ def plain_runs(docs):
             while end < len(line) and line[end][0] == line[at][0]:
                 end += 1
             low, text = min(of[at:end]), " ".join(w for _, w in line[at:end])
+            assert max(of[at:end]) - low <= 1
             out[line[at][0]][text] += low
             run = []
             for i in range(at, end + 1):

@@ -1,11 +1,14 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, in DataFrame operations only.
 
 Every source gets a target (its share by weight, at most ``max_repeat`` times its size). The mix is cut
-into seats of ``block`` words; sources get seats by highest quotients weight / (2k + 1), and a source's
-shards get its seats in the same way. A shard's words lie end to end and are cut into equal blocks; the
-order of a seeded hash selects as many as its seats are worth, all blocks again and again where that is
-more than it has. Only document numbers and sizes are shuffled, never texts; a large source is many
-shards, so that none meets in one task.
+into seats of ``block`` words; sources get seats by highest quotients weight / (2k + 1), a source's groups
+of shards get its seats in the same way, and a group's shards the group's. A shard's words lie end to end and
+are cut into equal blocks; a seeded permutation selects as many as the shard's seats are worth, all blocks
+again and again where that is more than it has. A block's place in the permutation is arithmetic, so a
+document's share is an expression over its own row: there is no row per block anywhere. Only document numbers
+and sizes are shuffled, never texts; a large source is many shards, so that none meets in one task.
+
+Documents go to shards by a hash of id and text, so that neither null ids nor one id of many texts is hot.
 
 Defined cases: null texts have size 0 and are never taken; a null source is a source of its own, the
 last; equal rows are documents of their own; without words, all targets are 0; extra columns are
@@ -20,8 +23,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import shared
 
 WEIGHTS, MAX_REPEAT = (5, 2, 1), 3
-#: Words in a seat; documents in a shard, about; shards in a source, at most.
-BLOCK, SHARD_DOCS, MAX_SHARDS, SEED = 32, 512, 65536, "mix-1"
+#: Words in a seat; documents in a shard, about; shards in a group.
+BLOCK, SHARD_DOCS, GROUP_SHARDS, SEED = 32, 512, 4096, "mix-1"
+#: Primes above any shard's number of blocks.
+STEPS = (2654435761, 2246822519, 3266489917, 668265263, 374761393)
 
 
 def seeded(*parts: Column | str) -> Column:
@@ -61,58 +66,64 @@ def apportioned(rows: DataFrame, group: list[str], key: str, weight: str, seats:
     return rows.join(won, [*group, key], "left").withColumn("quota", F.col("low") + F.coalesce("won", F.lit(0))).drop("low", "high", "left", "won")
 
 
-def chosen_parts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(parts, placed). parts has one row per document and block that share words: the document, the block,
-    the first word of the part in the document, its words, and how many times the mix takes the block."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = shared.settled(sized, "sizes")
+def located(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK) -> DataFrame:
+    """Every document in its shard: its words are begin to end of the shard's, which lie in blocks low to
+    high. The mix takes every block of the shard ``whole`` times and ``more`` of the shard's blocks once more:
+    those whose rank is below more. The rank of block b is (b * step + shift) mod blocks, a permutation, as
+    step is a prime above the number of blocks; the seed draws both."""
+    size = F.coalesce(F.regexp_count("text", F.lit(shared.WORD)), F.lit(0)).cast("long")
+    draw = seeded("doc_id", F.coalesce(F.md5("text"), F.lit("")))
+    sized = shared.settled(docs.select("doc_id", "source", size.alias("size"), draw.alias("draw")), "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, max_repeat)
     sources = sources.withColumn("all_", F.lit(0)).withColumn("seats", F.round(F.sum("target").over(Window.partitionBy("all_")) / block).cast("long"))
-    sources = apportioned(sources, ["all_"], "s", "target", "seats").withColumn("shards", F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.floor(F.col("n_docs") / SHARD_DOCS))))
+    sources = apportioned(sources, ["all_"], "s", "target", "seats").withColumn("shards", F.greatest(F.lit(1), F.expr(f"n_docs div {SHARD_DOCS}")))
     sources = sources.select(F.col("source").alias("of"), "s", "source_size", "target", "shards", F.col("quota").alias("source_quota"))
     sources = shared.settled(sources, "sources")
 
-    placed = sized.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", seeded("doc_id") % F.col("shards"))
+    placed = sized.join(sources, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", F.col("draw") % F.col("shards"))
     shards = placed.groupBy("s", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota"))
-    shards = apportioned(shards.filter("words > 0"), ["s"], "shard", "words", "source_quota").withColumn("blocks", F.ceil(F.col("words") / block))
-    wanted = F.round(F.col("quota") * block * F.col("blocks") / F.col("words")).cast("long")
-    shards = shards.withColumn("wanted", F.least(F.col("blocks") * max_repeat, wanted)).select("s", "shard", "words", "blocks", "wanted")
-    shards = shared.settled(shards, "shards")
+    shards = shared.settled(shards.filter("words > 0").withColumn("g", F.expr(f"shard div {GROUP_SHARDS}")), "shards")
+    groups = shards.groupBy("s", "g").agg(F.sum("words").alias("group_words"), F.first("source_quota").alias("source_quota"))
+    groups = apportioned(groups, ["s"], "g", "group_words", "source_quota").select("s", "g", F.col("quota").alias("group_quota"))
+    shards = apportioned(shards.join(groups, ["s", "g"]), ["s", "g"], "shard", "words", "group_quota")
+    shards = shards.withColumn("blocks", F.expr(f"(words + {block - 1}) div {block}"))
+    wanted = F.least(F.col("blocks") * max_repeat, F.round(F.col("quota") * block * F.col("blocks") / F.col("words")).cast("long"))
+    step = F.element_at(F.array(*map(F.lit, STEPS)), (seeded(F.lit("step"), "s", "shard") % len(STEPS) + 1).cast("int"))
+    shards = shards.withColumn("wanted", wanted).withColumn("step", step).withColumn("shift", seeded(F.lit("shift"), "s", "shard"))
+    shards = shards.select("s", "shard", "words", "blocks", F.expr("wanted div blocks").alias("whole"), F.expr("wanted % blocks").alias("more"), "step", "shift")
 
     line = Window.partitionBy("s", "shard").orderBy("doc_id", "size")
-    lain = placed.join(shards.hint("merge"), ["s", "shard"], "left").withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
-    number = lambda x: F.expr(f"(({x} + 1) * blocks - 1) div words")  # noqa: E731  of the block that holds a word
-    parts = lain.filter("size > 0").select("s", "shard", "doc_id", "source", "size", "source_size", "target", "begin", "end", "words", "blocks", F.explode(F.sequence(number("begin"), number("end - 1"))).alias("block"))
-    parts = parts.withColumn("first", F.greatest("begin", F.expr("block * words div blocks")))
-    parts = parts.withColumn("part", F.least("end", F.expr("(block + 1) * words div blocks")) - F.col("first")).withColumn("first", F.col("first") - F.col("begin")).drop("words", "blocks")
+    lain = placed.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.expr("end - size"))
+    lain = lain.join(shared.settled(shards, "quotas").hint("merge"), ["s", "shard"], "left")
+    number = lambda x: F.expr(f"if(size > 0, (({x} + 1) * blocks - 1) div words, null)")  # noqa: E731  of the block that holds a word
+    return lain.withColumn("low", number("begin")).withColumn("high", number("end - 1"))
+
 
-    chosen = shards.select("s", "shard", "blocks", "wanted", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    order = Window.partitionBy("s", "shard").orderBy(seeded("s", "shard", "block"), "block")
-    times = F.expr("wanted div blocks") + (F.row_number().over(order) <= F.col("wanted") % F.col("blocks")).cast("long")
-    chosen = chosen.select("s", "shard", "block", times.alias("times"))
-    return parts.join(chosen.hint("merge"), ["s", "shard", "block"]), placed
+#: Of block b of a shard: whether it is taken once more, its first word and the one after its last, both in the document.
+_MORE = "((b * step + shift) % blocks < more)"
+_FIRST, _AFTER = "greatest(0L, b * words div blocks - begin)", "least(size, (b + 1) * words div blocks - begin)"
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, size, source_size, target (its source's), taken."""
-    parts, placed = chosen_parts(docs, weights, max_repeat, block)
-    row = ["s", "shard", "doc_id", "size", "source_size", "target", "begin", "end"]
-    taken = parts.groupBy(*row).agg(F.sum(F.col("part") * F.col("times")).alias("taken"))
-    out = ["doc_id", "size", "source_size", "target", "taken"]
-    return taken.select(*out).unionByName(placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
+    extra = f"aggregate(filter(sequence(low, high), b -> {_MORE}), 0L, (n, b) -> n + {_AFTER} - {_FIRST})"
+    taken = F.expr(f"if(size > 0, whole * size + {extra}, 0L)")
+    return located(docs, weights, max_repeat, block).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def runs(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, begin (in its shard), whole and runs of each document of which the mix takes
     words: how often it takes all of them, and (first, words) of each run of neighbouring blocks that it
-    takes once more. A shard's blocks are taken n or n + 1 times, so that these are all."""
-    row = ["s", "shard", "doc_id", "source", "size", "begin"]
-    line = Window.partitionBy(*row).orderBy("block")
-    parts = chosen_parts(docs)[0].withColumn("turn", (F.col("times") != F.lag("times").over(line)).cast("int"))
-    parts = parts.withColumn("run", F.sum(F.coalesce("turn", F.lit(0))).over(line))
-    each = parts.groupBy(*row, "run").agg(F.min("times").alias("times"), F.min("first").alias("first"), F.sum("part").alias("words"))
-    out = each.groupBy(*row).agg(F.min("times").alias("whole"), F.collect_list(F.struct("first", "words", "times")).alias("runs"))
-    return out.select("doc_id", "source", "size", "begin", "whole", F.filter("runs", lambda r: r["times"] > F.col("whole")).alias("runs")).filter("whole > 0 or size(runs) > 0")
+    takes once more. A shard's blocks are taken n or n + 1 times, so that these are all. A document whose
+    blocks are all taken once more is taken whole once more."""
+    beside = lambda d: _MORE.replace("b *", f"(b {d} 1) *")
+    starts = F.expr(f"transform(filter(sequence(low, high), b -> {_MORE} and (b = low or not {beside('-')})), b -> {_FIRST})")
+    afters = F.expr(f"transform(filter(sequence(low, high), b -> {_MORE} and (b = high or not {beside('+')})), b -> {_AFTER})")
+    out = located(docs).filter("size > 0").withColumn("starts", starts).withColumn("afters", afters)
+    out = out.withColumn("every", F.expr("size(starts) = 1 and starts[0] = 0 and afters[0] = size"))
+    found = F.expr("if(every, array(), zip_with(starts, afters, (a, z) -> named_struct('first', a, 'words', z - a)))")
+    out = out.select("doc_id", "source", "size", "begin", F.expr("whole + cast(every as long)").alias("whole"), found.alias("runs"))
+    return out.filter("whole > 0 or size(runs) > 0")
 
 
 def materialised(docs: DataFrame) -> DataFrame:
@@ -153,7 +164,9 @@ _SEEDED = "('0x' || substr(md5('mix-1/' || {}), 1, 8))::BIGINT"
 
 ORACLE = rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         {_SEEDED.format("coalesce(doc_id::VARCHAR, '') || '/' || coalesce(md5(text), '')")} AS draw
+  FROM documents
 ), named AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS s
@@ -161,11 +174,11 @@ WITH sized AS (
 ), weighed AS (
   SELECT *, [5, 2, 1][s % 3 + 1] AS weight, 3 * source_size AS lim FROM named
 ), levels AS (
-  SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER w, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS lv
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER w, 0))::DOUBLE
+            / (sum(weight) OVER () - coalesce(sum(weight) OVER w, 0))::DOUBLE AS lv
   FROM weighed WINDOW w AS (ORDER BY lim::DOUBLE / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), aimed AS (
-  SELECT *, least(lim::DOUBLE, max(lv) OVER () * weight) AS target,
-         greatest(1, least(65536, n_docs // 512)) AS shards FROM levels
+  SELECT *, least(lim::DOUBLE, max(lv) OVER () * weight) AS target, greatest(1, n_docs // {SHARD_DOCS}) AS shards FROM levels
 ), listed AS (
   SELECT s, target, k, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, s) AS rank, round(tt / 32)::BIGINT AS seats
   FROM (SELECT s, target, sum(target) OVER () AS tt FROM aimed), LATERAL (SELECT unnest(range(0, ceil(target / 32)::BIGINT + 40)) AS k)
@@ -173,26 +186,39 @@ WITH sized AS (
 ), source_quota AS (
   SELECT s, count(*) FILTER (rank <= seats) AS quota FROM listed GROUP BY s
 ), placed AS (
-  SELECT z.doc_id, z.size, a.s, a.source_size, a.target, {_SEEDED.format("coalesce(z.doc_id::VARCHAR, '')")} % a.shards AS shard
+  SELECT z.doc_id, z.size, a.s, a.source_size, a.target, z.draw % a.shards AS shard
   FROM sized z JOIN aimed a ON z.source IS NOT DISTINCT FROM a.source
 ), shard_words AS (
-  SELECT s, shard, sum(size)::BIGINT AS words, ceil(sum(size)::DOUBLE / 32)::BIGINT AS blocks FROM placed GROUP BY s, shard HAVING sum(size) > 0
+  SELECT s, shard, shard // {GROUP_SHARDS} AS g, sum(size)::BIGINT AS words, ceil(sum(size)::DOUBLE / 32)::BIGINT AS blocks
+  FROM placed GROUP BY s, shard HAVING sum(size) > 0
+), group_words AS (
+  SELECT s, g, sum(words)::BIGINT AS words FROM shard_words GROUP BY s, g
+), group_listed AS (
+  SELECT w.s, g, k, row_number() OVER (PARTITION BY w.s ORDER BY words::DOUBLE / (2 * k + 1) DESC, g) AS rank, quota AS seats
+  FROM group_words w JOIN source_quota q ON w.s = q.s, LATERAL (SELECT unnest(range(0, 3 * words // 32 + 40)) AS k)
+), group_quota AS (
+  SELECT s, g, count(*) FILTER (rank <= seats) AS quota FROM group_listed GROUP BY s, g
 ), shard_listed AS (
-  SELECT w.s, shard, k, row_number() OVER (PARTITION BY w.s ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard) AS rank, quota AS seats
-  FROM shard_words w JOIN source_quota q ON w.s = q.s, LATERAL (SELECT unnest(range(0, 3 * blocks + 3)) AS k)
+  SELECT w.s, w.g, shard, k, quota AS seats,
+         row_number() OVER (PARTITION BY w.s, w.g ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard) AS rank
+  FROM shard_words w JOIN group_quota q ON w.s = q.s AND w.g = q.g, LATERAL (SELECT unnest(range(0, 3 * blocks + 3)) AS k)
 ), shard_quota AS (
-  SELECT s, shard, count(*) FILTER (rank <= seats) AS quota FROM shard_listed GROUP BY s, shard
+  SELECT s, shard, count(*) FILTER (rank <= seats) AS quota FROM shard_listed GROUP BY s, g, shard
 ), wanted AS (
-  SELECT w.s, w.shard, words, blocks, least(3 * blocks, round((quota * 32 * blocks)::DOUBLE / words)::BIGINT) AS wanted
+  SELECT w.s, w.shard, words, blocks, least(3 * blocks, round((quota * 32 * blocks)::DOUBLE / words)::BIGINT) AS wanted,
+         [{", ".join(map(str, STEPS))}][{_SEEDED.format("'step/' || w.s || '/' || w.shard")} % {len(STEPS)} + 1] AS step,
+         {_SEEDED.format("'shift/' || w.s || '/' || w.shard")} AS shift
   FROM shard_words w JOIN shard_quota q ON w.s = q.s AND w.shard = q.shard
 ), chosen AS (
-  SELECT s, shard, block, words, blocks, wanted // blocks + (row_number() OVER (PARTITION BY s, shard ORDER BY {_SEEDED.format("s || '/' || shard || '/' || block")}, block) <= wanted % blocks)::BIGINT AS times
+  SELECT s, shard, block, words, blocks,
+         wanted // blocks + ((block * step + shift) % blocks < wanted % blocks)::BIGINT AS times
   FROM wanted, LATERAL (SELECT unnest(range(0, blocks)) AS block)
 ), lain AS (
   SELECT *, sum(size) OVER (PARTITION BY s, shard ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM placed
 )
 SELECT doc_id, size, source_size, target,
        coalesce((SELECT sum((least(l.e, (c.block + 1) * c.words // c.blocks) - greatest(l.e - l.size, c.block * c.words // c.blocks)) * c.times)
-                 FROM chosen c WHERE c.s = l.s AND c.shard = l.shard AND (c.block + 1) * c.words // c.blocks > l.e - l.size AND c.block * c.words // c.blocks < l.e), 0)::BIGINT AS taken
+                 FROM chosen c WHERE c.s = l.s AND c.shard = l.shard
+                   AND (c.block + 1) * c.words // c.blocks > l.e - l.size AND c.block * c.words // c.blocks < l.e), 0)::BIGINT AS taken
 FROM lain l
 """
