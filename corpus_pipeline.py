@@ -7,10 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import langid, lines, mixture, neardup, packing, shared, tokens
 
+#: Languages that the corpus is made of, and the least share of a document's n-grams that its language holds.
+LANGUAGES = ("de", "en", "es", "fr")
+LEAST_COVERAGE = 0.3
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be told; those without text or without a letter go."""
-    return langid.identified(docs)
+    """Documents predicted to be in one of LANGUAGES with at least LEAST_COVERAGE of their n-grams in its
+    filter; those without a letter, in another language or in none that was learned go."""
+    return langid.identified(docs, LANGUAGES, LEAST_COVERAGE)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
