@@ -76,45 +76,6 @@ def test_predictions_equal_exact_sets(spark, odd):
         assert mine[:2] == plain[:2] and mine[2:] == pytest.approx(plain[2:], abs=2e-3)
 
 
-def test_languages_without_training(spark):
-    assert [r["lang_pred"] for r in langid.predicted(frame(spark, [(1, "text", None)])).collect()] == ["und"]
-    assert langid.predicted(frame(spark, [])).collect() == []
-
-
-def test_rejected_documents_go(spark, odd):
-    docs = frame(spark, corpus(60) + [(1000, None), (1001, " 12 !"), (1002, "the house")], extra=True)
-    kept = langid.identified(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*range(60), 1002}
-    assert {r["doc_id"] for r in langid.identified(docs, ("en", "de")).collect()} == {*(i for i in range(60) if i % 3 != 1), 1002}
-    strange = frame(spark, [*corpus(60), (1000, "xkcd qwrt zzyx", None), (1001, "the house xkcd qwrt zzyx bbnm", None)])
-    assert {1000, 1001}.isdisjoint(r["doc_id"] for r in langid.identified(strange, least=0.6).collect())
-    assert 1001 in {r["doc_id"] for r in langid.identified(strange, least=0.2).collect()}
-
-
-def test_predictions_equal_exact_sets(spark, odd):
-    from tests.llm.test_pipeline import grams_of
-
-    rows = corpus() + [(1000 + (r[0] or 0), *r[1:]) if r[0] is not None else r for r in odd]
-    learned = [r for r in rows if r[1] is not None and (r[2] if len(r) > 2 else "en") and not held(r[0], 5, 0)]
-    lang = lambda r: r[2] if len(r) > 2 else "en"
-    order = [x for x, _ in sorted(Counter(map(lang, learned)).items(), key=lambda t: (-t[1], t[0]))]
-    by = {x: Counter(g for r in learned if lang(r) == x for g in grams_of(r[1])) for x in order}
-    rate = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in by.items()}
-    best = {g: max(r.get(g, 0) for r in rate.values()) for g in set().union(*rate.values())}
-    sets = {x: {g for g, v in r.items() if v >= 0.2 * best[g]} for x, r in rate.items()}
-    got = Counter((r["doc_id"], r["lang_pred"], round(r["score"], 3), round(r["coverage"], 3)) for r in langid.predicted(frame(spark, rows)).collect())
-    want = Counter()
-    for r in rows:
-        found = grams_of(r[1])
-        counts = {x: sum(g in s for g in found) for x, s in sets.items()}
-        top, total = max(counts, key=counts.get), sum(counts.values())
-        if not any(c.isalpha() for c in r[1] or ""):
-            want[r[0], "und", 0.0, 0.0] += 1
-        else:
-            want[r[0], top if total else order[0], round(counts[top] / total if total else 0, 3), round(counts[top] / max(1, len(found)), 3)] += 1
-    assert got == want
-
-
 def test_filter_returns_all_languages_of_a_gram():
     masks = np.zeros((1 << 12, 2), np.uint64)
     gram = np.array([123456], np.uint64)
