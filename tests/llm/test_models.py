@@ -1,9 +1,11 @@
+import hashlib
 import math
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from tests.llm.conftest import frame
 from tidemark.llm import langid, neighbours, scoring, syncmers
@@ -178,23 +180,73 @@ def test_few_and_no_neighbours(spark):
     assert neighbours.search(vectors(spark, [])).collect() == []
 
 
-def test_fingerprints(spark, odd):
-    import hashlib
+def _xx(*values):
+    """Spark's xxhash64 of texts and longs, one seed after the other."""
+    seed = 42
+    for v in values:
+        data = v if isinstance(v, bytes) else int(v).to_bytes(v_bytes(v), "little", signed=True)
+        seed = xxhash.xxh64(data, seed=seed % (1 << 64)).intdigest()
+    return seed - (1 << 64) if seed >= 1 << 63 else seed
 
-    rows = [r for r in odd if r[0] is not None and r[0] != 5] + [(30 + i, t) for i, (_, t, _) in enumerate(corpus(40))]
-    rows = sorted({r[0]: r for r in rows}.values())
-    got = {r["doc_id"]: r for r in syncmers.compared(frame(spark, rows, extra=True)).collect()}
-    assert len(got) == len(rows)
-    texts = [r[1] or "" for r in rows]
+
+def v_bytes(v):
+    return 4 if isinstance(v, np.int32) else 8
+
+
+def plain_anchors(text):
+    h = [_xx(w) for w in (text or "").encode().split()]
+    if len(h) < 4:
+        seed = 42
+        for x in h:
+            seed = _xx(np.int64(seed), np.int64(x))
+        return [(0, seed)] if h else []
+    pair = [_xx(np.int64(a), np.int64(b)) for a, b in zip(h, h[1:], strict=False)]
+    return [(i, _xx(np.int64(pair[i]), np.int64(pair[i + 2]))) for i in range(len(h) - 3) if min(pair[i], pair[i + 2]) <= pair[i + 1]]
+
+
+def plain_links(found):
+    if len(found) == 1:
+        return {found[0][1]}
+    return {_xx(np.int64(a[1]), np.int64(b[1]), np.int32(b[0] - a[0])) for a, b in zip(found, found[1:], strict=False)}
+
+
+def plain_fingerprints(rows):
+    """Every column from whole texts, in order of doc_id (null: the least) and the text's hash."""
+    rows = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], _xx((r[1] or "").encode())))
+    texts, out = [r[1] or "" for r in rows], []
+    near = lambda a, b: 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
+    text_of = lambda f: " ".join(f"{p:x}:{h % (1 << 64):x}" for p, h in f)
     for i, r in enumerate(rows):
         a, b = texts[i], texts[(i + 1) % len(rows)]
         moved = len(a) // 4
         edited = a[: len(a) - moved] + b[:moved]
-        x = got[r[0]]
-        assert x["n_chars"] == len(a) and x["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= x["near_edited"] <= 1 and (x["near_edited"] == 1 or a != edited)
-        assert (x["fingerprint"] == got[rows[(i + 1) % len(rows)][0]]["fingerprint"]) or x["near_next"] < 1
-    assert got[4]["near_edited"] > 0.5
+        f, e, n = plain_anchors(a), plain_anchors(edited), plain_anchors(b)
+        out.append((r[0], len(a), hashlib.sha256(edited.encode()).hexdigest(), text_of(f), text_of(e), near(plain_links(f), plain_links(e)), near(plain_links(f), plain_links(n))))
+    return out
+
+
+def same_fingerprints(spark, rows):
+    got = syncmers.compared(frame(spark, rows, extra=True)).collect()
+    key = lambda x: (x[0] is not None, *x[1:])
+    assert sorted(((r[0] or 0, *map(str, r[1:5]), round(r[5], 9), round(r[6], 9)) for r in got)) == sorted(((r[0] or 0, *map(str, r[1:5]), round(r[5], 9), round(r[6], 9)) for r in plain_fingerprints(rows)))
+    return {r["doc_id"]: r for r in got}
+
+
+def test_fingerprints(spark, odd):
+    rows = [*odd, *((30 + i, t) for i, (_, t, _) in enumerate(corpus(40)))]
+    got = same_fingerprints(spark, rows)
+    assert got[4]["near_edited"] > 0.4
+
+
+def test_fingerprints_of_hot_and_clustered_ids(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "BUCKET_ROWS", 8)
+    random = np.random.default_rng(7)
+    texts = [" ".join(f"w{j}" for j in random.integers(0, 50, random.integers(0, 30))) for _ in range(300)]
+    ids = [None if i % 5 == 0 else 7 if i % 3 == 0 else 10**15 if i == 1 else 1000 + i for i in range(300)]
+    same_fingerprints(spark, [(k, f"{t} n{i}") for i, (k, t) in enumerate(zip(ids, texts, strict=True))])
+    buckets = syncmers.bucketed(spark.createDataFrame([(k if k is not None else syncmers.LEAST, hash(i * 10**9 + 1) * 2654435761 % (1 << 64) - (1 << 63)) for i, k in enumerate(ids)], "key long, h long"))
+    sizes = [r["count"] for r in buckets.groupBy(*syncmers.BUCKET).count().collect()]
+    assert max(sizes) <= 40 and sum(sizes) == 300
 
 
 def test_syncmers_by_hand(spark):
