@@ -174,6 +174,57 @@ def test_copies_count_once_in_the_budget():
         assert len(np.unique(sample[inside], axis=0)) >= 390
 
 
+@pytest.mark.parametrize("n,share,sample", [(20_000, 0.36, 16384), (20_000, 0.36, 4096)])
+def test_a_search_prunes(spark, n, share, sample):
+    """Isotropic vectors: recall, and the share of rows in the leaves that queries visit."""
+    random = np.random.default_rng(8)
+    x = random.normal(size=(n, 64))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    asked = range(0, n, 500)
+    forest = neighbours.Forest.fit(x[:sample], extra=int(np.ceil(np.log2(n / sample))))
+    codes, seen, hits = forest.route(x), 0, 0
+    for q in asked:
+        visited = np.array(forest.search(x[q], neighbours.budget(n) * sample / n))
+        inside = np.isin(codes, visited).any(1)
+        seen += inside.sum()
+        cos = x @ x[q]
+        cos[q] = -2
+        hits += inside[np.argsort(-cos)[:5]].sum()
+    assert seen / (n * len(asked)) < share and hits / (5 * len(asked)) >= 0.9
+    assert np.bincount(codes[:, 0]).max() <= 8 * neighbours.LEAF
+
+
+def test_neighbours_equal_the_best_of_what_is_visited(spark):
+    """Dropping pairs by the codes' bounds loses none of the k nearest of the visited rows."""
+    random = np.random.default_rng(9)
+    data = random.normal(size=(1500, 24)).astype(np.float32)
+    data[300:900:2] = data[300]
+    data[7] = 2 * data[4]
+    x = data.astype(np.float64)
+    # a budget above all rows: everything is visited
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(data)] + [(40, data[3].tolist(), 0), (50, data[9].tolist(), 0), (8, data[8].tolist(), 0)]
+    got = {}
+    for r in neighbours.search(vectors(spark, rows), every=10, candidates=10**6).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    norm = np.sqrt((x * x).sum(1))
+    for q in (q for q in range(0, 1500, 10) if q not in (40, 50)):
+        cos = (x * x[q]).sum(1) / (norm * norm[q])
+        for extra, like in ((40, 3), (50, 9)):
+            cos[extra] = max(cos[extra], (x[like] * x[q]).sum() / (norm[like] * norm[q]))
+        cos[q] = -2
+        order = np.lexsort((np.arange(1500), -cos))[:5]
+        assert sorted(got[q]) == [(i + 1, v, cos[v]) for i, v in enumerate(order)]
+
+
+def test_neighbours_ignore_other_columns(spark):
+    more = "code int, q int, tiny string, step int, nth int, block int, of int, place int, score string, rank int, asked int, low int, high int"
+    names = [x.split()[0] for x in more.split(", ")]
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], 0, *((0 if "int" in c else "x") for c in more.split(", "))) for i in range(120)]
+    plain = neighbours.search(vectors(spark, [r[:3] for r in rows])).collect()
+    got = neighbours.search(vectors(spark, rows, ", " + more)).collect()
+    assert names and sorted(got) == sorted(plain) and len(got) == 15
+
+
 def test_few_and_no_neighbours(spark):
     assert [(r["query_id"], r["vec_id"]) for r in neighbours.search(vectors(spark, [(0, [1.0, 0.0], 0), (1, [1.0, 1.0], 0)])).collect()] == [(0, 1)]
     assert neighbours.search(vectors(spark, [(0, [1.0], 0)])).collect() == []
