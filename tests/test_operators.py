@@ -109,6 +109,62 @@ def test_classifiers(spark):
         classify.classified(rows, Broken).collect()
 
 
+def test_a_failing_call_is_split_until_the_fault_is_alone():
+    calls = []
+
+    class Picky(classify.Fake):
+        def classify(self, listings):
+            calls.append(len(listings))
+            if any(x["title"] == "bad" for x in listings):
+                raise RuntimeError("bad")
+            return [("A", 0.5), ("", 0.5), ("A", 2), ("A", float("nan")), ("A", 1), "A", None, ("A", 0.25)][: len(listings)]
+
+    listings = [{"title": "bad" if i in (3, 9) else "x"} for i in range(12)]
+    got = classify.answered(Picky(), listings)
+    assert [i for i, x in enumerate(got) if x is None and i in (3, 9)] == [3, 9] and got[0] == ("A", 0.5)
+    assert max(calls) == 12 and len(calls) <= 2 * 2 * 4 + 1
+    assert classify.checked([("A", 0.5), ("", 0.5), ("A", 2), ("A", float("nan")), ("A", 1), "A", None], 7) == [("A", 0.5), None, None, None, ("A", 1.0), None, None]
+    with pytest.raises(ValueError, match="3 listings"):
+        classify.checked([None], 3)
+
+
+def test_chooser_rate_budget_and_failures():
+    now, slept = [0.0], []
+
+    def sleep(s):
+        slept.append(s)
+        now[0] += s
+
+    make = lambda ask, **more: classify.Chooser("v", lambda x: ["A", "B"], ask, clock=lambda: now[0], sleep=sleep, **more)
+    listings = [{"title": str(i)} for i in range(10)]
+    c = make(lambda x, p: ("A", 0.9, 0.5), rate=2, budget=2)
+    assert c.classify(listings) == [("A", 0.9)] * 4 + [None] * 6 and c.usd == 2.0 and c.error is None
+
+    def ask(x, p):
+        if x["title"] == "2":
+            raise RuntimeError("busy")
+        return "Z", 0.9
+
+    c = make(ask, threads=1)
+    got = c.classify(listings[:3])
+    assert got == [("Uncategorized", 0.9)] * 2 + [None] and "busy" in c.error
+    with pytest.raises(RuntimeError, match="busy"):
+        make(ask).classify(listings[2:3])
+
+
+def test_walker_goes_level_by_level():
+    asked = []
+
+    def choose(x, below):
+        asked.append(below[0])
+        return below[x["n"] % len(below)], 0.5
+
+    w = classify.Walker("v", {"": ["A", "B"], "A": ["A > C"], "A > C": ["A > C > D"]}, choose)
+    assert w.classify([{"n": 0}, {"n": 1}, {"n": 2}]) == [("A > C > D", 0.125), ("B", 0.5), ("A > C > D", 0.125)]
+    assert asked == ["A", "A", "A", "A > C", "A > C", "A > C > D", "A > C > D"]
+    assert w.classify([]) == []
+
+
 def points(spark, seed, n):
     import numpy as np
 
@@ -126,6 +182,21 @@ def test_vectors_by_class(spark):
     assert all(r["category"] == "Uncategorized" for r in knn.best_text(asked, knn.centroids(index), 1.1).collect())
     model = knn.Softmax.fit(index)
     assert all(r["label"] == truth[r["id"]] for r in model.predict(asked).collect())
+    # the loss is convex: at its least, its slope is nothing
+    import numpy as np
+
+    rows = model.shares(index).collect()
+    x = np.array([r["vector"] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    gap = np.array([r["shares"] for r in rows]) - np.eye(3)[[int(r["label"][1]) for r in rows]]
+    w = model.model.coefficientMatrix.toArray()
+    assert np.abs(gap.T @ x / len(x) + 1e-5 * w).max() < 1e-4 and np.abs(gap.mean(axis=0)).max() < 1e-4
+    z = x @ w.T + model.model.interceptVector.toArray()
+    assert np.allclose(np.exp(z) / np.exp(z).sum(1, keepdims=True), [r["shares"] for r in rows])
+    alone = knn.Softmax.fit(index.filter("label = 'C1'"))
+    assert {(r["label"], r["confidence"]) for r in alone.predict(asked).collect()} == {("C1", 1.0)}
+    with pytest.raises(ValueError, match="no labelled rows"):
+        knn.Softmax.fit(index.filter("false"))
     first = knn.shortlist(asked, knn.centroids(index), 2).first()
     assert len(first["paths"]) == 2 and first["paths"][0] == truth[first["query_id"]]
 

@@ -65,6 +65,17 @@ def test_bench_of_a_classifier(spark):
     rows = spark.createDataFrame([(i, "Title", "", "{}", "Fake > T") for i in range(5)], "id int, title string, description string, attributes string, category string")
     answers, batches = evaluate.run(classify.Fake(), rows, spark.createDataFrame([("Fake > T",)], "path string"), batch=2)
     assert answers.filter("valid and category = label").count() == 5 and batches.count() == 3
+    assert batches.filter("seconds >= 0 and usd = 0 and rss_mb > 1").count() == 3
+
+    class Paid(classify.Fake):
+        usd = 0.0
+
+        def classify(self, listings):
+            self.usd += 0.5 * len(listings)
+            return super().classify(listings)
+
+    answers, batches = evaluate.run(Paid, rows, spark.createDataFrame([("Other",)], "path string"), batch=2)
+    assert answers.filter("valid").count() == 0 and [r["usd"] for r in batches.orderBy("batch").collect()] == [1.0, 1.0, 0.5]
 
 
 def test_snapshots(spark, tmp_path):
