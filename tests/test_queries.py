@@ -6,6 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from tidemark.plans import journeys  # noqa: F401  registers its queries
 from tidemark.plans import queries as Q
 
 DATA = "/root/testdata/sf0.001"

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.operators import feed, fold, status
 from tidemark.operators.classify import Fake
 from tidemark.schemas import KEYS, STORE
+from tidemark.sources import generate
 from tidemark.sources.vtable import Conflict, VTable
 from tidemark.streaming import ingest, landing, liveness
 from tidemark.streaming.export import Export
+from tidemark.streaming.ingest import Ingest
+from tidemark.streaming.landing import LandingLog
 
 MS = 1_700_000_000_000
 
@@ -249,6 +252,53 @@ def test_requests_share_commits():
     assert a.submit([9]) == 4
 
 
+def test_a_lost_race_takes_the_next_commit(spark, tmp_path):
+    log = LandingLog(spark, f"file://{tmp_path}/landing")
+    rows = generate_rows(spark, 3)
+    assert log.append(rows) == 0
+    seen, real = [], log.commits
+    log.commits = lambda: (seen.append(1), real() if len(seen) > 1 else [])[1]  # the first look is before the other's commit
+    assert log.append(rows) == 1 and len(seen) == 2
+    assert {r["_commit_version"] for r in log.read().collect()} == {0, 1}
+    log.commits = lambda: []
+    with pytest.raises(RuntimeError, match="is taken"):
+        log.append(rows)
+
+
+def generate_rows(spark, n):
+    return generate.changes(spark, n, seed=4).selectExpr("*", "'00000000-0000-7000-8000-000000000000' as submission_id", "nth as change_index", "timestamp '2024-01-01' as received_at")
+
+
+def test_a_rebuild_goes_on_where_it_was_cut_short(spark, tmp_path):
+    job = Ingest(spark, f"file://{tmp_path}/r", say=lambda line: None)
+    job.landing.append(generate_rows(spark, 300))
+
+    def fail(step):
+        if step == "rebuilt":
+            raise OSError("gone")
+
+    job.after = fail
+    with pytest.raises(OSError):
+        job.rebuild(4)
+    first = job.store.read().count()
+    job.after = lambda step: None
+    taken = job.rebuild(4)
+    assert 0 < first < 300 and job.store.read().count() == 300 and taken >= 1
+    assert job.rebuild(4) == taken + 1 and job.store.read().count() == 300
+
+
+def test_batches_read_no_file_without_pending_rows(spark, tmp_path):
+    job = Ingest(spark, f"file://{tmp_path}/b", say=lambda line: None)
+    job.landing.append(generate_rows(spark, 50))
+    job.start().awaitTermination()
+    items = job.store._live().values()
+    assert items and all(x["flagged"] == 0 and x["versions"] == ["fake-0"] for x in items)
+    read, real = [], job.store._frame
+    job.store._frame = lambda paths: (read.append(len(paths)), real(paths))[1]
+    job.store.read(None, lambda x: x.get("flagged", 1) or set(x["versions"]) - {"fake-0"}).collect()
+    assert read == [0]
+
+
 def test_stalls():
     over, mark = liveness.stalled(True, 1, None, 0, 5)
     assert not over and liveness.stalled(True, 1, mark, 4, 5)[0] is False and liveness.stalled(True, 1, mark, 6, 5)[0]

@@ -86,9 +86,12 @@ def writes(changes: DataFrame, stored: DataFrame | None, taxonomy_version: str,
     return out.drop("base", "asked")
 
 
-def expected_store(changes: DataFrame, *payload: str) -> DataFrame:
+def expected_store(changes: DataFrame, *payload: str, failed: DataFrame | None = None) -> DataFrame:
     """What a store must hold after the whole log: per key the first landed row of the greatest version.
-    Says nothing of classification; tombstones are rows."""
+    Says nothing of classification; tombstones are rows. failed: (submission_id, change_index) of changes that
+    could not be stored and so count for nothing."""
+    if failed is not None:
+        changes = changes.join(failed.select("submission_id", "change_index").distinct(), ["submission_id", "change_index"], "left_anti")
     kept = changes.filter(F.col("op") != "reclassify")
     best = F.max_by(F.struct("source_version", "hash", "is_tombstone", *payload), F.struct(F.col("source_version"), (-F.col("pos")).alias("at")))
     return kept.groupBy(*KEYS).agg(best.alias("s")).select(*KEYS, "s.*")

@@ -93,10 +93,11 @@ class Unavailable(RuntimeError):
     """A page could not be had after all tries."""
 
 
-def fetch(get: Callable[[int, int], dict], *, page: int = 100, tries: int = 6, wait: float = 15.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict]:
-    """All rows of a paged service: get(offset, length) gives {"total", "rows"}. Errors that may pass are
-    tried again with doubling waits; a page without rows before the end is an error."""
-    offset, total = 0, None
+def fetch(get: Callable[[int, int], dict], *, page: int = 100, tries: int = 6, wait: float = 15.0, sleep: Callable[[float], None] = time.sleep, start: int = 0, stop: int | None = None) -> Iterator[dict]:
+    """The rows of a paged service from start to stop (None: to its end): get(offset, length) gives {"total",
+    "rows"}. Errors that may pass are tried again with doubling waits; a page without rows before the end is
+    an error."""
+    offset, total = start, stop
     while total is None or offset < total:
         for attempt in range(tries):
             try:
@@ -108,7 +109,7 @@ def fetch(get: Callable[[int, int], dict], *, page: int = 100, tries: int = 6, w
                 if attempt + 1 == tries:
                     raise Unavailable(f"offset {offset}: {tries} tries") from e
                 sleep(wait * 2**attempt)
-        total, rows = found["total"], found["rows"]
+        total, rows = min(stop or found["total"], found["total"]), found["rows"]
         if not rows and offset < total:
             raise Unavailable(f"offset {offset}: no rows before {total}")
         yield from rows
@@ -116,8 +117,8 @@ def fetch(get: Callable[[int, int], dict], *, page: int = 100, tries: int = 6, w
 
 
 class PagedSource(DataSource):
-    """``paged``: JSON pages as files ``page-<offset>.json`` below a folder that workers can open, one task a
-    page. Stands in for a remote service; the reader is the same."""
+    """``paged``: a service of JSON pages, one task a page, each fetched with retries. The service is a folder
+    (any that pyarrow opens by URI) of files ``page-<offset>.json``, in place of a remote one."""
 
     @classmethod
     def name(cls) -> str:
@@ -127,20 +128,27 @@ class PagedSource(DataSource):
         return "title string, description string, category string"
 
     def reader(self, schema) -> DataSourceReader:
-        return PagedReader(self.options["path"], int(self.options["total"]), int(self.options.get("page", 100)))
+        return PagedReader(self.options["path"], int(self.options["total"]), int(self.options.get("page", 100)), float(self.options.get("wait", 15.0)))
 
 
 class PagedReader(DataSourceReader):
-    def __init__(self, path: str, total: int, page: int):
-        self.path, self.total, self.page = path, total, page
+    def __init__(self, path: str, total: int, page: int, wait: float):
+        self.path, self.total, self.page, self.wait = path, total, page, wait
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(at) for at in range(0, self.total, self.page)]
 
+    def get(self, offset: int, length: int) -> dict:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(self.path)
+        with store.open_input_file(f"{folder}/page-{offset}.json") as f:
+            return json.loads(f.readall())
+
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(f"{self.path}/page-{partition.value}.json", encoding="utf-8") as f:
-            for row in json.load(f)["rows"]:
-                yield tuple(row.get(x) for x in ("title", "description", "category"))
+        stop = min(self.total, partition.value + self.page)
+        for row in fetch(self.get, page=self.page, wait=self.wait, start=partition.value, stop=stop):
+            yield tuple(row.get(x) for x in ("title", "description", "category"))
 
 
 class Registry:

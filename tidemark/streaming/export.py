@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import feed as feeds
+from tidemark.schemas import KEYS
 from tidemark.sources.vtable import Files, VTable
 
 MARK = "_watermark.json"
@@ -44,7 +45,7 @@ class Export:
         name = f"{first:020d}-{last:020d}"
         hidden = f"{self.folder}/.{name}"
         self.files.delete(hidden)
-        rows.write.parquet(hidden)
+        rows.orderBy(*KEYS).write.parquet(hidden)  # a range partitioning, sorted by key
         empty = self.spark.read.parquet(hidden).isEmpty()
         if empty:
             self.files.delete(hidden)

@@ -63,6 +63,9 @@ class Ingest:
         self.landing = LandingLog(spark, f"{self.root}/landing")
         self.store = VTable.create(spark, f"{self.root}/store", STORE, keyed=True)
         self.outcomes = VTable.create(spark, f"{self.root}/outcomes", OUTCOMES, keyed=False)
+        live = ~F.col("is_tombstone")
+        # what the log says of a file decides whether a batch reads it for backfill
+        self.store.stats = {"flagged": F.count_if(live & F.col("needs_reclassify")), "versions": F.collect_set(F.when(live, F.coalesce("taxonomy_version", F.lit(""))))}
         self.query_id = ""
         #: Called with the name of each step that is done; tests raise here.
         self.after: Callable[[str], None] = lambda step: None
@@ -71,7 +74,8 @@ class Ingest:
         """(decided changes, writes with store columns, the persisted changes) of a batch over the store at
         head."""
         changes = changes_of(batch).withColumn("backfill", F.lit(False))
-        picked = fold.pending(self.store.read(head), self.version, self.backfill)
+        waits = lambda x: x.get("flagged", 1) or set(x.get("versions", [""])) - {self.version}
+        picked = fold.pending(self.store.read(head, waits), self.version, self.backfill)
         picks = fold.picks(picked).withColumns({"backfill": F.lit(True), "storable": F.lit(True)})
         changes = changes.unionByName(picks, allowMissingColumns=True).persist()
         good = changes.filter("storable")
@@ -131,10 +135,25 @@ class Ingest:
         stream = self.landing.stream(max_bytes, max_files)
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
-    def rebuild(self, batch_rows: int | None = None) -> None:
-        """Applies the whole retained log again, in replay order: a store that lags catches up, and one that
-        does not stays as it is."""
-        self.apply(fold.replay_order(self.landing.read()).drop("nth"), -1 - self.store.head())
+    def rebuild(self, batch_rows: int | None = None) -> int:
+        """Applies the whole retained log again, in replay order: a store that lags catches up, and one that does
+        not stays as it is. In steps of batch_rows rows of each partition; the steps that are done are on record,
+        and a rebuild that was cut short goes on after them. Returns the number of steps taken."""
+        files, mark = Files(self.spark, self.root), f"{self.root}/rebuild.json"
+        rows = fold.replay_order(self.landing.read())
+        plan = {"rows": batch_rows, "commits": max(self.landing.commits(), default=-1)}
+        found = json.loads(files.read(mark)) if files.exists(mark) else {}
+        first = found["done"] if {k: found.get(k) for k in plan} == plan else 0
+        most = rows.agg(F.max("nth")).first()[0] or 0
+        steps = -(-most // batch_rows) if batch_rows else min(1, most)
+        for step in range(first, steps):
+            part = rows.filter(F.col("nth").between(step * batch_rows + 1, (step + 1) * batch_rows)) if batch_rows else rows
+            self.apply(part.drop("nth"), -1 - self.store.head())
+            files.delete(mark)
+            files.publish(mark, json.dumps(plan | {"done": step + 1}))
+            self.after("rebuilt")
+        files.delete(mark)
+        return max(0, steps - first)
 
 
 class Progress(StreamingQueryListener):

@@ -36,22 +36,30 @@ class LandingLog:
     def commits(self) -> list[int]:
         return [int(x[:20]) for x in self.files.list(f"{self.root}/log") if x.endswith(".parquet") and not x.startswith((".", "_"))]
 
-    def append(self, changes: DataFrame) -> int:
+    def append(self, changes: DataFrame, attempts: int = 2) -> int:
         """changes: merchant_id, merchant_product_id, source_version, op, listing (JSON text or null),
-        submission_id, change_index, received_at; ``nth`` gives their order in the commit."""
-        version = max(self.commits(), default=-1) + 1
+        submission_id, change_index, received_at; ``nth`` gives their order in the commit. Who loses a race
+        for a version tries the next one, attempts times in all."""
+        for _ in range(attempts):
+            version = max(self.commits(), default=-1) + 1
+            if self._append_as(changes, version):
+                return version
+        raise RuntimeError(f"commit {version} is taken, after {attempts} attempts")
+
+    def _append_as(self, changes: DataFrame, version: int) -> bool:
         rows = changes.orderBy("nth").coalesce(1) if "nth" in changes.columns else changes.coalesce(1)
-        rows = rows.withColumn("partition", C.partition_of("merchant_id", "merchant_product_id")).withColumn("seq", (F.col("nth") if "nth" in changes.columns else F.monotonically_increasing_id()).cast("int")).withColumn("_commit_version", F.lit(version).cast("long"))
+        seq = (F.col("nth") if "nth" in changes.columns else F.monotonically_increasing_id()).cast("int")
+        rows = rows.withColumns({"partition": C.partition_of("merchant_id", "merchant_product_id"), "seq": seq, "_commit_version": F.lit(version).cast("long")})
         hidden = f"{self.root}/_new/{uuid.uuid4().hex}"
         rows.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA)).write.parquet(hidden)
         part = next(x for x in self.files.list(hidden) if x.endswith(".parquet"))
         fs, path = self.files.fs, self.files.path
-        last = fs.getFileStatus(path(self._file(version - 1))).getModificationTime() if version and fs.exists(path(self._file(version - 1))) else 0
+        before = path(self._file(version - 1))
+        last = fs.getFileStatus(before).getModificationTime() if version and fs.exists(before) else 0
         fs.setTimes(path(f"{hidden}/{part}"), max(int(time.time() * 1000), last + 1000), -1)
-        if fs.exists(path(self._file(version))) or not fs.rename(path(f"{hidden}/{part}"), path(self._file(version))):
-            raise RuntimeError(f"commit {version} is taken")
+        done = self.files.claim(f"{hidden}/{part}", self._file(version))
         self.files.delete(hidden)
-        return version
+        return done
 
     def _file(self, version: int) -> str:
         return f"{self.root}/log/{version:020d}.parquet"
@@ -60,8 +68,10 @@ class LandingLog:
         return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/log")
 
     def stream(self, max_bytes: int | None = 8 << 20, max_files: int = 100_000) -> DataFrame:
-        reader = self.spark.readStream.schema(SCHEMA).option("maxBytesPerTrigger", max_bytes) if max_bytes else self.spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files)
-        return reader.parquet(f"{self.root}/log")
+        """The log as a stream, capped by bytes or, without max_bytes, by files: Spark's file source refuses
+        both caps together ("Only one of 'maxFilesPerTrigger' or 'maxBytesPerTrigger' can be specified")."""
+        cap = {"maxBytesPerTrigger": max_bytes} if max_bytes else {"maxFilesPerTrigger": max_files}
+        return self.spark.readStream.schema(SCHEMA).options(**cap).parquet(f"{self.root}/log")
 
     def retain(self, keep_from: int) -> list[int]:
         """Drops commits before keep_from, which callers take no later than the slowest reader's."""

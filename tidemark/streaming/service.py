@@ -86,7 +86,8 @@ class Service:
             raise Refusal(404, "no such submission")
         if self.clock() - int(submission_id.replace("-", "")[:12], 16) / 1000 > EXPIRES_S:
             raise Refusal(410, "expired")
-        own = self.submissions.read().filter((F.col("submission_id") == submission_id) & (F.col("merchant_id") == merchant_id))
+        hour = time.strftime("%Y-%m-%dT%H", time.gmtime(int(submission_id.replace("-", "")[:12], 16) / 1000))
+        own = self.submissions.read_hours(hour, hour).filter((F.col("submission_id") == submission_id) & (F.col("merchant_id") == merchant_id))
         if own.isEmpty():
             raise Refusal(404, "no such submission")
         first = own.select("submission_id", "change_index", "merchant_id", F.when(F.col("accepted"), "accepted").otherwise("rejected").alias("type"))
