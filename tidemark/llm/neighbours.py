@@ -35,15 +35,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shared
 
-TREES, LEAF, SAMPLE, SEED = 24, 16, 16384, 17
-#: Rows, or visits, of a leaf that meet as one block.
-BLOCK_ROWS = 4096
+TREES, LEAF, SAMPLE, SEED = 24, 32, 16384, 17
+#: Rows, or visits, of a leaf that meet as one block; queries that a task walks the trees for.
+BLOCK_ROWS, WALKS = 4096, 64
 QUERY_EVERY, K = 50, 5
 
 
 def budget(rows: int) -> float:
     """Distinct vectors that a query's leaves should hold."""
-    return 2.3 * max(1, rows) ** 0.8
+    return 2.6 * max(1, rows) ** 0.8
 
 
 class Forest:
@@ -276,7 +276,8 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, trees: int
     questions = rows.filter(F.col("vec_id") % every == 0).select("embedding").distinct().withColumn("q", F.monotonically_increasing_id())
     questions = shared.settled(questions, "questions")  # the numbers stay
     members = _gathered(held.select("vec_id", "embedding").mapInArrow(route, "code long, vec_id long, tiny binary, step double"), "vec_id", "tiny", "step")
-    visits = _gathered(questions.repartition("q").mapInArrow(visit, "code long, q long, tiny binary, step double, floor double"), "q", "tiny", "step", "floor")
+    walked = questions.repartition(max(1, -(-questions.count() // WALKS)), "q")
+    visits = _gathered(walked.mapInArrow(visit, "code long, q long, tiny binary, step double, floor double"), "q", "tiny", "step", "floor")
     met = members.select("code", "of").join(visits.select("code", F.col("of").alias("asked")).hint("merge"), "code")
     pairs = met.mapInArrow(compare, "q long, vec_id long, low double, high double")
     pairs = shared.settled(pairs.groupBy("q", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high")), "pairs")
