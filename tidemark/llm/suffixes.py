@@ -2,31 +2,38 @@
 
 Which suffixes are sorted. Every LENGTH-byte string holds an anchor: the k-mer of KEY bytes with the least
 hash among all its k-mers (the last of equal ones). The choice depends on the string alone, so equal strings
-have their anchors at equal places. Only the suffixes that start at anchors are sorted, by their first KEY
-bytes: about one in (LENGTH - KEY) / 2 positions.
-
-The sort. Each task sorts its suffixes into runs and writes them front-coded: the length of the prefix
-shared with the suffix before, and the bytes after it. Runs travel in chunks; the key space is cut at
-quantiles of the chunks' first keys, and each range merges its runs by a loser tree that keeps, with every
-loser, the length of the prefix it shares with the last winner: unequal lengths decide a match without
-looking at bytes, equal ones compare only what follows. The winner's length tells at once whether it equals
-its predecessor. Equal suffixes of a run are one entry, so a frequent passage costs a range one entry per run.
-
-The exact check. A string repeats only if its anchor does. Neighbouring strings with the same repeated anchor
-are a range; ranges that are equal as a whole repeat as a whole, and one hash decides them. Only where an
-anchor has ranges that differ (at the ends of passages) the strings of one range of each kind are hashed (64
-bits and the bucket's, which come from another hash), and the hashes meet in buckets. The bytes that repeated
-strings cover are removed.
+have their anchors at equal places. Only the suffixes that start at anchors are sorted, about one in
+(LENGTH - KEY) / 2 positions: two equal strings lie around two equal anchors, so a string repeats if and only
+if the bytes before and behind its anchor, up to its ends, are those of another anchor.
+
+First sort: which anchors stand twice. Each task sorts its anchors' first KEY bytes into runs and writes them
+front-coded: the length of the prefix shared with the key before, and the bytes after it. Runs travel in
+chunks; the key space is cut at quantiles of the chunks' first keys (in two steps where there are more ranges
+than SPLITTERS), and each range merges its runs by a loser tree that keeps, with every loser, the length of
+the prefix it shares with the last winner: unequal lengths decide a match without looking at bytes, equal
+ones compare only what follows.
+
+Second sort: how far they agree. The suffixes of repeated anchors, up to the last string around the anchor,
+are sorted, front-coded and merged in the same way; the merge gives the common prefix of every two
+neighbours. What stands before the anchors, read backwards, is sorted within equal anchors and gives common
+prefixes too. For each place o of an anchor in its string, runs of suffixes with common prefixes of at least
+LENGTH - o bytes, and of backward ones of at least o, are classes; strings whose anchors share both classes
+are equal, byte by byte. No hash decides there: hashes only choose anchors and spread equal anchors to tasks.
+
+An anchor that stands more than HOT times is the exception, so that no task gathers it: its strings are
+hashed to 64 bits, twice independently, and meet in buckets by the second hash. Equal surroundings within a
+block of texts are one entry in both ways, so copies cost an entry per block.
 
 Defined cases: null texts are empty; a text shorter than LENGTH keeps every byte; equal texts of at least
 LENGTH bytes lose all, in each row, and so do rows listed twice; rows without a doc_id are handled like
-others; no rows give no rows; extra columns are ignored.
+others; a long text is handled in overlapping windows; no rows give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +47,10 @@ from tidemark.llm import shared
 LENGTH, KEY = 400, 64
 #: Suffixes in a run, in a chunk of a run, and in a range, about; keys that the driver sees, at most.
 RUN, CHUNK, RANGE, SPLITTERS = 1 << 18, 1024, 1 << 16, 4096
-#: Bytes of text in a block, and in a bucket's share of hashes, about.
-BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 21
+#: Bytes of text in a section and in a block, and of texts with repeated anchors to a bucket, about.
+SECTION, BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 20, 1 << 20
+#: Occurrences from which an anchor's strings meet by hash.
+HOT = 20_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -65,12 +74,26 @@ def anchored(data: np.ndarray, at: np.ndarray, length: int = LENGTH, key: int =
     if not len(starts):
         return starts, starts, sums
     places = np.arange(len(data) - key + 1)
-    bits = np.uint64(int(len(data)).bit_length())
+    # 33 bits of the hash whatever the section, so that the choice is the string's alone; then the later place
+    bits = np.uint64(31)
     order = shared.span_hash(sums, places, places + key) >> bits << bits | (len(data) - places).astype(np.uint64)
     least = sliding_least(order, length - key + 1)[starts]
     return starts, len(data) - (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), sums
 
 
+def sections(data: np.ndarray, at: np.ndarray, size: int = SECTION) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, place of its first byte, bytes, offsets) of parts of texts that lie end to end. Short texts
+    are taken together; a longer one is cut into windows of size bytes that overlap, so that each LENGTH-byte
+    string begins in one window and lies in it."""
+    for lo, hi in shared.slices(at, size):
+        if hi - lo > 1 or at[hi] - at[lo] <= size:
+            yield lo, int(at[lo]), data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
+            continue
+        for begin in range(int(at[lo]), int(at[hi]), size):
+            own = data[begin : min(begin + size + LENGTH - 1, at[hi])]
+            yield lo, begin, own, np.array([0, len(own)])
+
+
 def front_coded(keys: np.ndarray) -> tuple[bytes, bytes]:
     """Sorted rows of bytes as shared prefix lengths (the first's is 0) and what follows them."""
     differ = keys[1:] != keys[:-1]
@@ -81,18 +104,19 @@ def front_coded(keys: np.ndarray) -> tuple[bytes, bytes]:
 
 
 class Run:
-    """A run's keys within [low, high), decoded one by one from its chunks."""
+    """A run's keys within [low, high), decoded one by one from its chunks: (number, shared prefixes, lengths of
+    keys, what follows the prefixes)."""
 
-    def __init__(self, chunks: list[tuple[int, bytes, bytes]], low: bytes | None, high: bytes | None):
+    def __init__(self, chunks: list[tuple], low: bytes | None = None, high: bytes | None = None):
         self.items = self._decoded(chunks, low, high)
 
     @staticmethod
     def _decoded(chunks, low, high) -> Iterator[tuple[int, bytes, int, int]]:
         last = None
-        for number, prefix, rest in chunks:
+        for number, prefix, lengths, rest in chunks:
             key, at = b"", 0
-            for i, shared_ in enumerate(prefix):
-                step = KEY - shared_
+            for i, (shared_, length) in enumerate(zip(prefix, lengths, strict=True)):
+                step = length - shared_
                 key = key[:shared_] + rest[at : at + step]
                 at += step
                 if low is not None and key < low:
@@ -105,8 +129,9 @@ class Run:
 
 def common(a: bytes, b: bytes, known: int) -> int:
     """The length of the shared prefix of two keys that agree in the first known bytes."""
-    x = int.from_bytes(a[known:], "big") ^ int.from_bytes(b[known:], "big")
-    return len(a) - (x.bit_length() + 7) // 8
+    n = min(len(a), len(b))
+    x = int.from_bytes(a[known:n], "big") ^ int.from_bytes(b[known:n], "big")
+    return n - (x.bit_length() + 7) // 8
 
 
 def merged(runs: list[Run]) -> Iterator[tuple[int, int, int, int]]:
@@ -161,12 +186,14 @@ def merged(runs: list[Run]) -> Iterator[tuple[int, int, int, int]]:
         winner = now
 
 
-RUNS = "run string, chunk int, first binary, last binary, prefix binary, rest binary, repeated binary, counts binary, docs binary, texts binary, places binary"
+RUNS = "run string, chunk int, first binary, last binary, prefix binary, rest binary, counts binary, docs binary, texts binary, places binary"
 
 
 def sorted_runs(docs: DataFrame) -> DataFrame:
     """Front-coded chunks of sorted runs, with where each suffix stands (docs: doc_id, texts: the text's
     hash, places: the anchor in it)."""
+    names = [x.split()[0] for x in RUNS.split(", ")]
+    kinds = [pa.string(), pa.int32(), *[pa.binary()] * 8]
 
     def run_of(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         keys, docs_, texts, places = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -180,9 +207,8 @@ def sorted_runs(docs: DataFrame) -> DataFrame:
         for chunk, a in enumerate(range(0, len(keys), CHUNK)):
             b = min(a + CHUNK, len(keys))
             inside = order[first[a] : first[b - 1] + counts[b - 1]]
-            row = [name, chunk, keys[a].tobytes(), keys[b - 1].tobytes(), *front_coded(keys[a:b]), np.packbits(counts[a:b] > 1).tobytes(), counts[a:b].astype(np.uint32).tobytes(), docs_[inside].tobytes(), texts[inside].tobytes(), places[inside].tobytes()]
-            names = [x.split()[0] for x in RUNS.split(", ")]
-            kinds = [pa.string(), pa.int32(), *[pa.binary()] * 9]
+            row = [name, chunk, keys[a].tobytes(), keys[b - 1].tobytes(), *front_coded(keys[a:b])]
+            row += [counts[a:b].astype(np.uint32).tobytes(), docs_[inside].tobytes(), texts[inside].tobytes(), places[inside].tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,14 +216,17 @@ def sorted_runs(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, at = shared.text_bytes(batch.column("text"))
             docs_, texts = (batch.column(x).fill_null(0).to_numpy() for x in ("doc_id", "h"))
-            for lo, hi in shared.slices(at):
-                own, ends = data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
-                _, anchors, _ = anchored(own, ends)
+            before = None, np.zeros(0, np.int64)  # of a long text: its row, and the anchors of the window before
+            for lo, base, own, ends in sections(data, at):
+                anchors = np.unique(anchored(own, ends)[1])
+                row = np.searchsorted(ends, anchors, "right") - 1
+                if before[0] == lo:  # both windows may have chosen an anchor of the overlap
+                    fresh = ~np.isin(anchors + base, before[1])
+                    anchors, row = anchors[fresh], row[fresh]
+                before = lo, np.concatenate([before[1][before[1] >= base] if before[0] == lo else before[1][:0], anchors + base])
                 if not len(anchors):
                     continue
-                anchors = np.unique(anchors)
-                row = np.searchsorted(ends, anchors, "right") - 1
-                parts.append((own[anchors[:, None] + np.arange(KEY)], docs_[lo:hi][row], texts[lo:hi][row], anchors - ends[row]))
+                parts.append((own[anchors[:, None] + np.arange(KEY)], docs_[lo + row], texts[lo + row], anchors + base - at[lo + row]))
                 held += len(anchors)
                 if held >= RUN:
                     yield from run_of(parts)
@@ -208,84 +237,128 @@ def sorted_runs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "h").mapInArrow(sort, RUNS)
 
 
-def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, places) of the anchors whose suffix key stands elsewhere too."""
-    spark = docs.sparkSession
-    runs = shared.settled(sorted_runs(docs), "runs")
-    n = runs.count()
-    drawn = runs.select("first").orderBy(F.xxhash64("run", "chunk")).limit(SPLITTERS).collect()  # at most SPLITTERS keys
-    wanted, drawn = max(1, n * CHUNK // RANGE), sorted({bytes(r["first"]) for r in drawn})
-    cuts = sorted({drawn[i * len(drawn) // wanted] for i in range(1, min(wanted, len(drawn)))}) if drawn else []
-    sent = spark.sparkContext.broadcast(cuts)
+def ranged(runs: DataFrame, per_range: int, splitters: int) -> DataFrame:
+    """Chunks in each range of the key space that they meet: (range, sub, low, high, run, chunk, prefix, rest,
+    counts). Ranges are cut at quantiles of the chunks' first keys, of which the driver sees at most splitters;
+    where more ranges are wanted, each is cut on at quantiles of the first keys that lie in it."""
+    import bisect
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import bisect
+    spark = runs.sparkSession
+    wanted = max(1, runs.count() * CHUNK // per_range)
+    drawn = runs.select("first").orderBy(F.xxhash64("run", "chunk")).limit(splitters).collect()
+    keys = sorted({bytes(r["first"]) for r in drawn})
+    outer = min(wanted, len(keys))
+    sent = spark.sparkContext.broadcast(sorted({keys[i * len(keys) // outer] for i in range(1, outer)}) if keys else [])
+    parts = -(-wanted // max(1, outer))
+    carried = ("run", "chunk", "first", "last", "prefix", "rest", "counts")
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts = sent.value
         for batch in batches:
-            low = [bisect.bisect_right(sent.value, x) for x in batch.column("first").to_pylist()]
-            high = [bisect.bisect_right(sent.value, x) for x in batch.column("last").to_pylist()]
+            low = [bisect.bisect_right(cuts, x) for x in batch.column("first").to_pylist()]
+            high = [bisect.bisect_right(cuts, x) for x in batch.column("last").to_pylist()]
             of = np.repeat(np.arange(batch.num_rows), np.array(high, int) - np.array(low, int) + 1)
-            number = np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high, strict=True)] or [np.zeros(0, int)])
-            columns = [batch.column(x).take(pa.array(of)) for x in ("run", "chunk", "prefix", "rest", "repeated")]
-            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), *columns], ["range", "run", "chunk", "prefix", "rest", "repeated"])
+            number = [k for a, b in zip(low, high, strict=True) for k in range(a, b + 1)]
+            bounds = [pa.array([cuts[k + d] if 0 <= k + d < len(cuts) else None for k in number], pa.binary()) for d in (-1, 0)]
+            columns = [pa.array(number, pa.int32()), pa.array(np.zeros(len(of), np.int32)), *bounds, *(batch.column(x).take(pa.array(of)) for x in carried)]
+            yield pa.RecordBatch.from_arrays(columns, ["range", "sub", "low", "high", *carried])
+
+    schema = "range int, sub int, low binary, high binary, run string, chunk int, first binary, last binary, prefix binary, rest binary, counts binary"
+    out = runs.select(*carried).mapInArrow(spread, schema)
+    if parts == 1:
+        return out.drop("first", "last")
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    arrow = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                keys = r.pop("keys") or []
+                cuts = sorted({keys[i * len(keys) // parts] for i in range(1, parts)} - {r["low"]}) if keys else []
+                a = bisect.bisect_right(cuts, max(r["first"], r["low"] or b""))
+                b = bisect.bisect_right(cuts, r["last"])
+                for k in range(a, b + 1):
+                    rows.append(r | {"sub": k, "low": cuts[k - 1] if k else r["low"], "high": cuts[k] if k < len(cuts) else r["high"]})
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    out = shared.settled(out, "ranges")
+    inside = out.filter(F.col("low").isNull() | (F.col("first") >= F.col("low")))
+    few = inside.filter(F.pmod(F.xxhash64("chunk", "run"), F.greatest(F.lit(1), F.lit(wanted // (outer * 64)))) == 0)  # some 64 a part
+    keys = few.groupBy("range").agg(F.sort_array(F.collect_list("first")).alias("keys"))
+    return out.join(keys.hint("merge"), "range", "left").mapInArrow(cut, schema).drop("first", "last")
+
+
+def repeated_anchors(docs: DataFrame, per_range: int = RANGE, splitters: int = SPLITTERS, hot: int = HOT) -> DataFrame:
+    """(doc_id, h, places, hots) of the anchors whose suffix key stands elsewhere too; hots: those of them that
+    stand more than hot times."""
+    runs = shared.settled(sorted_runs(docs), "runs")
 
     def merge(table: pa.Table) -> pa.Table:
-        number = table.column("range")[0].as_py()
-        low = sent.value[number - 1] if number else None
-        high = sent.value[number] if number < len(sent.value) else None
-        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("run", "chunk", "prefix", "rest", "repeated")), strict=True), key=lambda r: r[:2])
-        found = {r[:2]: np.unpackbits(np.frombuffer(r[4], np.uint8), count=len(r[2])).astype(bool) for r in rows}
+        low, high = (table.column(x)[0].as_py() for x in ("low", "high"))
+        rows = sorted(zip(*(table.column(x).to_pylist() for x in ("run", "chunk", "prefix", "rest", "counts")), strict=True), key=lambda r: r[:2])
+        counts = {r[:2]: np.frombuffer(r[4], np.uint32).tolist() for r in rows}
+        found = {k: np.zeros(len(x), np.uint8) for k, x in counts.items()}
         names = sorted({r[0] for r in rows})
         chunks: dict[str, list] = {x: [] for x in names}
         for run, chunk, prefix, rest, _ in rows:
-            chunks[run].append((chunk, prefix, rest))
-        last = None
+            chunks[run].append((chunk, prefix, [KEY] * len(prefix), rest))
+        group: list[tuple] = []
+
+        def close() -> None:
+            times = sum(counts[k][i] for k, i in group)
+            if times > 1:
+                for k, i in group:
+                    found[k][i] = 1 + (times > hot)
+
         for prefix, run, chunk, entry in merged([Run(chunks[x], low, high) for x in names]):
-            if prefix == KEY:
-                found[last[0]][last[1]] = True
-                found[names[run], chunk][entry] = True
-            last = (names[run], chunk), entry
-        kept = [(r, c, np.packbits(x).tobytes()) for (r, c), x in found.items() if x.any()]
-        columns = list(zip(*kept, strict=True)) or [[], [], []]
-        return pa.table({"run": pa.array(columns[0], pa.string()), "chunk": pa.array(columns[1], pa.int32()), "found": pa.array(columns[2], pa.binary())})
-
-    ranges = "range int, run string, chunk int, prefix binary, rest binary, repeated binary"
-    found = runs.select("run", "chunk", "first", "last", "prefix", "rest", "repeated").mapInArrow(spread, ranges).groupBy("range").applyInArrow(merge, "run string, chunk int, found binary")
-    found = found.groupBy("run", "chunk").agg(F.collect_list("found").alias("found"))  # one per range that the chunk meets
+            if prefix < KEY:
+                close()
+                group = []
+            group.append(((names[run], chunk), entry))
+        close()
+        kept = [(r, c, np.packbits(x > 0).tobytes(), np.packbits(x > 1).tobytes()) for (r, c), x in found.items() if x.any()]
+        columns = list(zip(*kept, strict=True)) or [[], [], [], []]
+        return pa.table({"run": pa.array(columns[0], pa.string()), "chunk": pa.array(columns[1], pa.int32()), "found": pa.array(columns[2], pa.binary()), "hot": pa.array(columns[3], pa.binary())})
+
+    found = ranged(runs, per_range, splitters).groupBy("range", "sub").applyInArrow(merge, "run string, chunk int, found binary, hot binary")
+    found = found.groupBy("run", "chunk").agg(F.collect_list("found").alias("found"), F.collect_list("hot").alias("hot"))  # one per range that the chunk meets
     both = runs.select("run", "chunk", "counts", "docs", "texts", "places").join(shared.settled(found, "found").hint("merge"), ["run", "chunk"])
 
     def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        any_of = lambda masks, n: np.unpackbits(np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in masks]), count=n).astype(bool)
         for batch in batches:
-            for counts, docs_, texts, places, masks in zip(*(batch.column(x).to_pylist() for x in ("counts", "docs", "texts", "places", "found")), strict=True):
+            for counts, docs_, texts, places, masks, hots in zip(*(batch.column(x).to_pylist() for x in ("counts", "docs", "texts", "places", "found", "hot")), strict=True):
                 counts = np.frombuffer(counts, np.uint32)
-                bits = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in masks])
-                keep = np.repeat(np.unpackbits(bits, count=len(counts)).astype(bool), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)[keep]) for x in (docs_, texts, places)], ["doc_id", "h", "place"])
+                keep = np.repeat(any_of(masks, len(counts)), counts)
+                columns = [pa.array(np.frombuffer(x, np.int64)[keep]) for x in (docs_, texts, places)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.repeat(any_of(hots, len(counts)), counts)[keep])], ["doc_id", "h", "place", "hot"])
 
-    places = both.mapInArrow(located, "doc_id long, h long, place long")
-    return places.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("place")).alias("places"))
+    places = both.mapInArrow(located, "doc_id long, h long, place long, hot boolean")
+    return places.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("place")).alias("places"), F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("place")))).alias("hots"))
 
 
-BLOCKS = "block string, docs array<long>, hs array<long>, texts array<binary>, places array<array<long>>"
+BLOCKS = "block string, docs array<long>, hs array<long>, texts array<binary>, places array<array<long>>, hots array<array<long>>"
 
 
 def blocked(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Texts with repeated anchors, gathered into blocks under names of their own."""
-    of = found.select(F.col("doc_id").alias("of_"), F.col("h").alias("of_h"), "places")
+    of = found.select(F.col("doc_id").alias("of_"), F.col("h").alias("of_h"), "places", "hots")
     rows = docs.join(of.hint("merge"), (F.coalesce("doc_id", F.lit(0)) == F.col("of_")) & (F.col("h") == F.col("of_h")))
-    rows = rows.select(F.col("of_").alias("doc_id"), "h", F.col("text").cast("binary").alias("text"), "places")
+    rows = rows.select(F.col("of_").alias("doc_id"), "h", F.col("text").cast("binary").alias("text"), "places", "hots")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
             name = pa.array([uuid.uuid4().hex])
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int64())))
+            longs = pa.list_(pa.int64())
+            kinds = (longs, longs, pa.list_(pa.binary()), pa.list_(longs), pa.list_(longs))
             columns = [pa.array([list(x)], k) for x, k in zip(zip(*held, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([name, *columns], ["block", "docs", "hs", "texts", "places"])
+            return pa.RecordBatch.from_arrays([name, *columns], ["block", "docs", "hs", "texts", "places", "hots"])
 
         for batch in batches:
-            for row in _rows(batch, "doc_id", "h", "text", "places"):
+            for row in _rows(batch, "doc_id", "h", "text", "places", "hots"):
                 held.append([x.as_py() for x in row])
                 size += len(held[-1][2])
                 if size >= BLOCK_BYTES:
@@ -297,42 +370,55 @@ def blocked(docs: DataFrame, found: DataFrame) -> DataFrame:
     return shared.settled(rows.mapInArrow(gather, BLOCKS), "blocks")
 
 
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
+    for i in range(batch.num_rows):
+        yield [batch.column(x)[i] for x in names]
+
+
 class Block:
-    """A block's texts end to end, and the ranges of neighbouring strings that share a repeated anchor:
-    first and last start, a hash of the anchor's k-mer, and a hash of all that the range's strings cover and
-    of the anchor's place in it."""
+    """A block's texts end to end, and the ranges of neighbouring strings around one repeated anchor: first and
+    last start, the anchor, and whether it is hot. Ranges whose bytes and anchor's place are equal are one kind
+    (kind: of each range; stands: the range that stands for it; many: whether it stands for more)."""
 
-    def __init__(self, texts: pa.ListScalar, places: pa.ListScalar):
+    def __init__(self, texts: pa.ListScalar, places: pa.ListScalar, hots: pa.ListScalar):
         data, at = shared.text_bytes(texts.values)
         self.data, self.at = data[at[0] : at[-1]], at - at[0]
-        starts, anchors, self.sums = anchored(self.data, self.at)
-        marked = np.zeros(len(self.data) + 1, bool)
-        own = places.values
-        marked[own.flatten().to_numpy() + np.repeat(self.at[:-1], pa.compute.list_value_length(own).to_numpy())] = True
-        keep = marked[anchors]
-        starts, anchors = starts[keep], anchors[keep]
-        new = np.ones(len(starts), bool)
-        new[1:] = (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1)
-        begin = np.flatnonzero(new)
-        self.first, self.last = starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
-        anchor = anchors[begin]
-        self.keys = shared.span_hash(self.sums, anchor, anchor + KEY)
-        self.spans = shared.mix(shared.span_hash(self.sums, self.first, self.last + LENGTH) + (anchor - self.first).astype(np.uint64))
-        # equal ranges of a block are one kind, which its first range stands for
-        _, self.stands, self.kind, times = np.unique(np.stack([self.keys, self.spans], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
-        self.kind, self.many = self.kind.reshape(-1), times > 1
-
-    def strings(self, ranges: np.ndarray) -> np.ndarray:
-        """The starts of all strings of some ranges."""
-        n = self.last[ranges] - self.first[ranges] + 1
-        return np.arange(n.sum()) + np.repeat(self.first[ranges] - (np.cumsum(n) - n), n)
-
-    def hashes(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of strings."""
-        other = np.zeros(len(starts), np.uint64)
-        for i in range(0, LENGTH, 25):
-            other = other * np.uint64(0x100000001B3) + self.data[starts + i]
-        return shared.span_hash(self.sums, starts, starts + LENGTH), shared.mix(other)
+        repeated, hot = self._marked(places), self._marked(hots)
+        found: list[tuple[np.ndarray, ...]] = []
+        self.strings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of hot ranges: starts and two hashes
+        for _, base, own, ends in sections(self.data, self.at):
+            starts, anchors, sums = anchored(own, ends)
+            keep = repeated[anchors + base]
+            starts, anchors = starts[keep], anchors[keep]
+            new = np.ones(len(starts), bool)
+            new[1:] = (anchors[1:] != anchors[:-1]) | (starts[1:] != starts[:-1] + 1)
+            begin = np.flatnonzero(new)
+            found.append((starts[begin] + base, starts[np.append(begin[1:], len(starts)) - 1] + base if len(begin) else begin, anchors[begin] + base))
+            burning = starts[hot[anchors + base]]
+            if len(burning):
+                self.strings.append((burning + base, *_hashes(own, sums, burning)))
+        self.first, self.last, self.anchor = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        cold = ~hot[self.anchor]
+        self.first, self.last, self.anchor = self.first[cold], self.last[cold], self.anchor[cold]
+        text, kinds = self.data.tobytes(), {}
+        self.kind = np.zeros(len(self.first), np.int64)
+        for i, (a, z, p) in enumerate(zip(self.first.tolist(), self.last.tolist(), self.anchor.tolist(), strict=True)):
+            self.kind[i] = kinds.setdefault((p - a, text[a : z + LENGTH]), len(kinds))
+        self.kinds = list(kinds)
+        self.many = np.bincount(self.kind, minlength=len(kinds)) > 1
+
+    def _marked(self, places: pa.ListScalar) -> np.ndarray:
+        out, own = np.zeros(len(self.data) + 1, bool), places.values
+        out[own.flatten().to_numpy() + np.repeat(self.at[:-1], pa.compute.list_value_length(own).to_numpy())] = True
+        return out
+
+
+def _hashes(data: np.ndarray, sums: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the strings that start there."""
+    other = np.zeros(len(starts), np.uint64)
+    for i in range(0, LENGTH, 25):
+        other = other * np.uint64(0x100000001B3) + data[starts + i]
+    return shared.span_hash(sums, starts, starts + LENGTH), shared.mix(other)
 
 
 def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -342,80 +428,98 @@ def _by_bucket(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), order[cuts[k] : cuts[k + 1]]
 
 
-def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
-    for i in range(batch.num_rows):
-        yield [batch.column(x)[i] for x in names]
-
-
-REPEATED, OPEN = 1, 2
-
-
-def judged_ranges(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(block, ranges, flags): of kinds of ranges whose anchor stands elsewhere too. Equal ranges repeat as a whole; if
-    an anchor's ranges are not all equal, one of each kind is open: its strings may stand in the others."""
+def equal_strings(prefix: np.ndarray, backward: list[bytes], low: np.ndarray, high: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """[entry, o]: whether the string with the anchor at place o stands elsewhere too. Entries are in the order
+    of their suffixes; prefix: what each shares with the one before; backward: what stands before the anchor,
+    read backwards; low, high: the places o of the entry's own strings; times: how many ranges it stands for."""
+    n = len(prefix)
+    group = np.cumsum(prefix < KEY)
+    turned = sorted(range(n), key=lambda i: (group[i], backward[i]))
+    behind = np.zeros(n, np.int64)  # in the backward order: what each shares with the one before; -1 across anchors
+    for j in range(n):
+        i, before = turned[j], turned[j - 1]
+        behind[j] = common(backward[before], backward[i], 0) if j and group[i] == group[before] else -1
+    turned_ = np.array(turned, np.int64)
+    out, mine = np.zeros((n, LENGTH - KEY + 1), bool), np.empty(n, np.int64)
+    for o in range(int(low.min(initial=LENGTH)), int(high.max(initial=-1)) + 1):
+        mine[turned_] = np.cumsum(behind < o)
+        own = np.flatnonzero((low <= o) & (o <= high))
+        both = np.cumsum(prefix < LENGTH - o)[own] * (n + 1) + mine[own]
+        order = np.argsort(both, kind="stable")
+        new = np.ones(len(own), bool)
+        new[1:] = both[order][1:] != both[order][:-1]
+        of = np.cumsum(new) - 1
+        out[own[order], o] = np.bincount(of, times[own[order]])[of] > 1
+    return out
+
+
+ENTRIES = "bucket long, block string, kinds binary, prefix binary, lengths binary, rest binary, turns binary, backward binary, spans binary, many binary"
+
+
+def decided(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, decided): which strings of which kinds of ranges stand elsewhere too, by the merged suffixes."""
+    names = [x.split()[0] for x in ENTRIES.split(", ")]
+    coded = {"kinds": np.uint32, "prefix": np.uint16, "lengths": np.uint16, "turns": np.uint16, "spans": np.uint16, "many": np.uint8}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, texts, places in _rows(batch, "block", "texts", "places"):
-                own = Block(texts, places)
-                keys, spans = own.keys[own.stands], own.spans[own.stands]
-                for k, at in _by_bucket((keys % np.uint64(buckets)).astype(np.int64), buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name.as_py()]), *(pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.uint32), keys[at], spans[at], own.many[at].astype(np.uint8)))], ["bucket", "block", "ranges", "keys", "spans", "many"])
+            for name, texts, places, hots in _rows(batch, "block", "texts", "places", "hots"):
+                own = Block(texts, places, hots)
+                runs: dict[int, list] = {}
+                for kind, (k, body) in enumerate(own.kinds):
+                    runs.setdefault(zlib.crc32(body[k : k + KEY]) % buckets, []).append((body[k:], kind, k, body))
+                for bucket, run in runs.items():
+                    run.sort(key=lambda e: e[0])
+                    suffixes = [e[0] for e in run]
+                    shares = [0, *(common(a, b, 0) for a, b in zip(suffixes, suffixes[1:], strict=False))]
+                    kinds = [e[1] for e in run]
+                    spans_ = [x for _, _, k, body in run for x in (LENGTH + k - len(body), k)]
+                    numbers = {"kinds": kinds, "prefix": shares, "lengths": list(map(len, suffixes)), "turns": [e[2] for e in run], "spans": spans_, "many": own.many[kinds]}
+                    values = {x: np.array(v, coded[x]).tobytes() for x, v in numbers.items()}
+                    values |= {"bucket": bucket, "block": name.as_py(), "rest": b"".join(x[p:] for x, p in zip(suffixes, shares, strict=True)), "backward": b"".join(e[3][: e[2]][::-1] for e in run)}
+                    yield pa.RecordBatch.from_pylist([values], schema=pa.schema([("bucket", pa.int64()), ("block", pa.string()), *((x, pa.binary()) for x in names[2:])]))
 
     def meet(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        ranges, keys, spans, many = ([np.frombuffer(x, kind) for x in table.column(c).to_pylist()] for c, kind in (("ranges", np.uint32), ("keys", np.uint64), ("spans", np.uint64), ("many", np.uint8)))
-        of = np.repeat(np.arange(len(ranges)), [len(x) for x in ranges])
-        ranges, keys, spans, many = (np.concatenate(x) for x in (ranges, keys, spans, many))
-        order = np.lexsort((spans, keys))
-        new_key, new_kind = np.ones(len(order), bool), np.ones(len(order), bool)
-        new_key[1:] = keys[order][1:] != keys[order][:-1]
-        new_kind[1:] = new_key[1:] | (spans[order][1:] != spans[order][:-1])
-        kind, key = np.cumsum(new_kind) - 1, np.cumsum(new_key) - 1
-        times, kinds = np.bincount(kind, 1 + many[order]), np.bincount(key[new_kind])
-        flags = np.zeros(len(order), np.uint8)
-        flags[order] = REPEATED * (times[kind] > 1) + OPEN * (new_kind & (kinds[key] > 1))
-        names, out = table.column("block").to_pylist(), []
-        cuts = np.searchsorted(of, np.arange(len(names) + 1))
-        for i, name in enumerate(names):
-            own = np.arange(cuts[i], cuts[i + 1])
-            own = own[flags[own] > 0]
-            if len(own):
-                out.append((name, ranges[own].tobytes(), flags[own].tobytes()))
-        return pa.table({"block": pa.array([x[0] for x in out], pa.string()), "ranges": pa.array([x[1] for x in out], pa.binary()), "flags": pa.array([x[2] for x in out], pa.binary())})
-
-    met = blocks.select("block", "texts", "places").mapInArrow(send, "bucket long, block string, ranges binary, keys binary, spans binary, many binary")
-    met = met.groupBy("bucket").applyInArrow(meet, "block string, ranges binary, flags binary")
-    return met.groupBy("block").agg(F.collect_list(F.struct("ranges", "flags")).alias("judged"))
-
-
-def _flags(own: Block, judged: pa.ListScalar) -> np.ndarray:
-    """Each range's flags; of a kind only the range that stands for it is open."""
-    kinds = np.zeros(len(own.stands), np.uint8)
-    for x in judged.as_py():
-        kinds[np.frombuffer(x["ranges"], np.uint32)] = np.frombuffer(x["flags"], np.uint8)
-    flags = kinds[own.kind]
-    others = np.ones(len(flags), bool)
-    others[own.stands] = False
-    flags[others] &= REPEATED
-    return flags
-
-
-def spans(blocks: DataFrame) -> DataFrame:
-    """(doc_id, h, n_removed, n_spans, kept_sha256) of each text of a block that loses bytes."""
-    size = blocks.select(F.sum(F.expr("aggregate(texts, 0L, (n, x) -> n + length(x))"))).first()[0] or 0
-    buckets = max(1, size // BUCKET_BYTES)
-    judged = shared.settled(judged_ranges(blocks, buckets), "judged")
-    with_flags = blocks.join(judged.hint("merge"), "block")
+        rows = table.sort_by("block").to_pylist()
+        own = [{x: np.frombuffer(r[x], kind) for x, kind in coded.items()} for r in rows]
+        runs = [Run([(0, x["prefix"].tolist(), x["lengths"].tolist(), r["rest"])]) for x, r in zip(own, rows, strict=True)]
+        ends = [np.concatenate([[0], np.cumsum(x["turns"], dtype=np.int64)]).tolist() for x in own]
+        order = [(prefix, run, entry) for prefix, run, _, entry in merged(runs)]
+        prefix, run, entry = (np.array(x, np.int64) for x in zip(*order, strict=True))
+        backward = [rows[r]["backward"][ends[r][i] : ends[r][i + 1]] for r, i in zip(run.tolist(), entry.tolist(), strict=True)]
+        starts = np.cumsum([0, *(len(x["kinds"]) for x in own)])
+        at = starts[run] + entry
+        span = np.concatenate([x["spans"].reshape(-1, 2) for x in own]).astype(np.int64)[at]
+        times = 1 + np.concatenate([x["many"] for x in own])[at].astype(np.int64)
+        found = np.zeros((len(at), LENGTH - KEY + 1), bool)
+        found[at] = equal_strings(prefix, backward, span[:, 0], span[:, 1], times)
+        out = []
+        for i, r in enumerate(rows):
+            part = found[starts[i] : starts[i + 1]]
+            hit = part.any(1)
+            if hit.any():
+                out.append((r["block"], own[i]["kinds"][hit].tobytes(), np.packbits(part[hit], axis=1).tobytes()))
+        columns = list(zip(*out, strict=True)) or [[], [], []]
+        return pa.table({"block": pa.array(columns[0], pa.string()), "kinds": pa.array(columns[1], pa.binary()), "places": pa.array(columns[2], pa.binary())})
+
+    met = blocks.select("block", "texts", "places", "hots").mapInArrow(send, ENTRIES).groupBy("bucket").applyInArrow(meet, "block string, kinds binary, places binary")
+    return met.groupBy("block").agg(F.collect_list(F.struct("kinds", "places")).alias("decided"))
+
+
+def hot_hashes(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, hashes): of the strings around hot anchors those that stand twice or more."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, texts, places, flagged in _rows(batch, "block", "texts", "places", "judged"):
-                own = Block(texts, places)
-                value, other = own.hashes(own.strings(np.flatnonzero(_flags(own, flagged) & OPEN)))
+            for name, texts, places, hots in _rows(batch, "block", "texts", "places", "hots"):
+                own = Block(texts, places, hots)
+                if not own.strings:
+                    continue
+                value, other = (np.concatenate([x[i] for x in own.strings]) for i in (1, 2))
                 unique, first, n = np.unique(value, return_index=True, return_counts=True)
                 for k, at in _by_bucket((other[first] % np.uint64(buckets)).astype(np.int64), buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([name.as_py()]), pa.array([unique[at].tobytes()], pa.binary()), pa.array([np.packbits(n[at] > 1).tobytes()], pa.binary())], ["bucket", "block", "hashes", "twice"])
+                    columns = [pa.array([k], pa.int64()), pa.array([name.as_py()]), pa.array([unique[at].tobytes()], pa.binary()), pa.array([np.packbits(n[at] > 1).tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "hashes", "twice"])
 
     def meet(table: pa.Table) -> pa.Table:
         names = table.column("block").to_pylist()
@@ -427,23 +531,40 @@ def spans(blocks: DataFrame) -> DataFrame:
         kept = [x for x in kept if x[1]]
         return pa.table({"block": pa.array([x[0] for x in kept], pa.string()), "hashes": pa.array([x[1] for x in kept], pa.binary())})
 
-    met = with_flags.select("block", "texts", "places", "judged").mapInArrow(send, "bucket long, block string, hashes binary, twice binary")
-    met = met.groupBy("bucket").applyInArrow(meet, "block string, hashes binary").groupBy("block").agg(F.collect_list("hashes").alias("hashes"))
-    both = with_flags.join(shared.settled(met, "met").hint("merge"), "block", "left")
+    burning = blocks.filter(F.exists("hots", lambda x: F.size(x) > 0)).select("block", "texts", "places", "hots")
+    met = burning.mapInArrow(send, "bucket long, block string, hashes binary, twice binary").groupBy("bucket").applyInArrow(meet, "block string, hashes binary")
+    return met.groupBy("block").agg(F.collect_list("hashes").alias("hashes"))
+
+
+def spans(blocks: DataFrame) -> DataFrame:
+    """(doc_id, h, n_removed, n_spans, kept_sha256) of each text of a block that loses bytes."""
+    size = blocks.select(F.sum(F.expr("aggregate(texts, 0L, (n, x) -> n + length(x))"))).first()[0] or 0
+    buckets = max(1, size // BUCKET_BYTES)
+    both = blocks.join(shared.settled(decided(blocks, buckets), "decided").hint("merge"), "block", "left")
+    both = both.join(shared.settled(hot_hashes(blocks, buckets), "hot").hint("merge"), "block", "left")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = LENGTH - KEY + 1
         for batch in batches:
-            for docs_, hs, texts, places, flagged, hashes in _rows(batch, "docs", "hs", "texts", "places", "judged", "hashes"):
-                own = Block(texts, places)
-                flags = _flags(own, flagged)
-                alone = own.strings(np.flatnonzero((flags & OPEN > 0) & (flags & REPEATED == 0)))
-                found = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in hashes.as_py() or [])])
-                alone = alone[np.isin(own.hashes(alone)[0], found)]
-                whole = flags & REPEATED > 0
+            for docs_, hs, texts, places, hots, judged, hashes in _rows(batch, "docs", "hs", "texts", "places", "hots", "decided", "hashes"):
+                own = Block(texts, places, hots)
+                stands = np.zeros((len(own.kinds), width), bool)
+                for x in judged.as_py() or []:
+                    bits = np.unpackbits(np.frombuffer(x["places"], np.uint8).reshape(-1, -(-width // 8)), axis=1, count=width)
+                    stands[np.frombuffer(x["kinds"], np.uint32)] = bits.astype(bool)
                 steps = np.zeros(len(own.data) + 1, np.int64)
-                for begin, end in ((own.first[whole], own.last[whole] + LENGTH), (alone, alone + LENGTH)):
-                    np.add.at(steps, begin, 1)
-                    np.add.at(steps, end, -1)
+                hit = np.flatnonzero(stands.any(1)[own.kind]) if len(own.kinds) else np.zeros(0, np.int64)
+                for a in range(0, len(hit), 4096):
+                    part = hit[a : a + 4096]
+                    i, o = np.nonzero(stands[own.kind[part]])
+                    starts = own.anchor[part][i] - o
+                    np.add.at(steps, starts, 1)
+                    np.add.at(steps, starts + LENGTH, -1)
+                found = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in hashes.as_py() or [])])
+                for starts, value, _ in own.strings:
+                    again = starts[np.isin(value, found)]
+                    np.add.at(steps, again, 1)
+                    np.add.at(steps, again + LENGTH, -1)
                 gone, out = np.cumsum(steps[:-1]) > 0, []
                 for i, (doc, h) in enumerate(zip(docs_.as_py(), hs.as_py(), strict=True)):
                     part = slice(own.at[i], own.at[i + 1])
@@ -458,11 +579,12 @@ def spans(blocks: DataFrame) -> DataFrame:
     return both.mapInArrow(remove, "doc_id long, h long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
+def deduplicated(docs: DataFrame, per_range: int = RANGE, splitters: int = SPLITTERS, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row. The parameters change the work's shape
+    alone, not the result."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("h", F.xxhash64("text"))
-    found = shared.settled(repeated_anchors(docs), "anchors")
+    found = shared.settled(repeated_anchors(docs, per_range, splitters, hot), "anchors")
     cut = shared.settled(spans(blocked(docs, found)).dropDuplicates(["doc_id", "h"]), "spans")
     cut = cut.select(F.col("doc_id").alias("of_"), F.col("h").alias("of_h"), "n_removed", "n_spans", F.col("kept_sha256").alias("kept"))
     rows = docs.select("doc_id", "h", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
