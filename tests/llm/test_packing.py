@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import Counter
 
@@ -76,6 +77,39 @@ def test_files_round_trip(spark, odd, tmp_path):
         at += len(ids)
 
 
+def test_a_folder_is_read_by_its_manifest(spark, tmp_path):
+    folder = f"file://{tmp_path}/ids"
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i * 7919 % 400:03d} " + "wörd " * (i % 50)) for i in range(400)]
+    docs = frame(spark, rows).repartition(7)
+    made = binary.write(docs, tokens.vocabulary(), folder, length=64)
+    said = binary.manifest(folder)
+    assert said["files"] == made and said["length"] == 64 and said["n_tokens"] == sum(map(len, ids_of([t for _, t in rows])))
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got, stream = sorted(binary.documents(spark, folder).collect(), key=lambda r: r["start"]), []
+    assert [r["doc_id"] for r in got] == [r[0] for r in order] and [r["ids_crc32"] for r in got] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in ids_of([t for _, t in order])]
+    for x in said["files"]:
+        assert x["base"] == len(stream)
+        for _, _, ids in binary.Reader(f"{folder}/{x['name']}").documents():
+            stream += ids.tolist()
+    assert stream == [i for x in ids_of([t for _, t in order]) for i in x]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    other = tokens.vocabulary("byte_bpe_50k.json")
+    assert tokens.by_word(tokens.vocabulary()) and not tokens.by_word(other)
+    spec = json.loads(open(tokens.vocabulary(), encoding="utf-8").read())
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L} ]+|[^\s]"
+    path = f"{tmp_path}/joined.json"
+    open(path, "w", encoding="utf-8").write(json.dumps(spec))
+    assert not tokens.by_word(path)
+    texts = ["a  b", "", "Two words. é", " lead", "x" * 3000]
+    for vocabulary in (other, path):
+        whole = Tokenizer.from_file(vocabulary)
+        ids, ends = tokens.Encoder(vocabulary, 1).encode(*shared.text_bytes(pa.array(["zz", *texts]).slice(1)))
+        for i, t in enumerate(texts):
+            assert ids[ends[i] : ends[i + 1]].tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_sequences_by_number(tmp_path):
     out = binary.Writer(f"{tmp_path}/x", 8, pa.uint16())
     ids = np.arange(2000, dtype=np.uint32)

@@ -8,15 +8,18 @@ order; only a file's last sequence is padded, where the mask is false.
 
 Each task writes files under names of its own and reports them; only reported files are read, so a
 task that runs twice or a lost executor leaves nothing but an unread file. The driver sees one row
-per file.
+per file, and writes them last, in order, as the folder's manifest (MANIFEST_NAME): with it alone the
+folder is read in order, later and elsewhere. Tasks are ranges of (doc_id, the text's first PREFIX
+characters), so that neither a hot id nor rows without one are a task's alone, unless their texts begin alike.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are written each; rows of
-equal doc_id lie side by side in text order; null doc_ids come first; no rows give no files; a text of any
-length may span sequences; extra columns are ignored.
+equal doc_id lie side by side in text order; null doc_ids come first; no rows give a
+manifest without files; a text of any length may span sequences; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,8 +35,11 @@ from tidemark.llm import shared, tokens
 LENGTH, END_ID = 2048, 1
 #: Sequences in a record batch: 64 of 2,048 two-byte ids are 256 KB.
 BATCH = 64
+#: Characters of a text that ranges of documents are cut by.
+PREFIX = 64
 
-MANIFEST = "path string, first_doc long, n_docs long, n_tokens long"
+MADE = "path string, first_doc long, first_text string, n_docs long, n_tokens long"
+MANIFEST_NAME = "_manifest.json"
 
 
 def id_type(n_ids: int) -> pa.DataType:
@@ -121,8 +127,9 @@ class Reader:
                 yield key, start, parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.uint32), *parts])
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, end_id: int | None = END_ID) -> DataFrame:
-    """Writes all documents' ids in ascending doc_id order; one row per file, in no order."""
+def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, end_id: int | None = END_ID) -> list[dict]:
+    """Writes all documents' ids in ascending doc_id order, then the manifest; returns its files, in order: name,
+    first_doc, n_docs, n_tokens and base, the ids before it."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, out, first, path = None, None, None, ""
@@ -131,19 +138,36 @@ def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, en
                 continue
             if out is None:
                 encoder = tokens.Encoder(tokenizer, end_id)
-                path, first = f"{folder}/part-{uuid.uuid4().hex}", batch.column("doc_id")[0].as_py()
+                path, first = f"{folder}/part-{uuid.uuid4().hex}", [batch.column(x)[0].as_py() for x in ("doc_id", "begin")]
                 out = Writer(path, length, id_type(encoder.tokenizer.get_vocab_size()))
             data, at = shared.text_bytes(batch.column("text"))
             for lo, hi in shared.slices(at, tokens.SLICE_BYTES):
                 out.add(batch.column("doc_id").slice(lo, hi - lo), *encoder.encode(data, at[lo : hi + 1]))
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([first], pa.int64()), pa.array([out.n_docs]), pa.array([out.n_tokens])], ["path", "first_doc", "n_docs", "n_tokens"])
+            columns = [pa.array([path]), pa.array(first[:1], pa.int64()), pa.array(first[1:], pa.string()), *(pa.array([x], pa.int64()) for x in (out.n_docs, out.n_tokens))]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "first_doc", "first_text", "n_docs", "n_tokens"])
 
     fs, at = _opened(folder)
     fs.create_dir(at, recursive=True)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return rows.mapInArrow(put, MANIFEST)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.left("text", F.lit(PREFIX)).alias("begin"))
+    rows = rows.repartitionByRange("doc_id", "begin").sortWithinPartitions("doc_id", "text")
+    made = rows.mapInArrow(put, MADE).collect()  # a row per file
+    base, files = 0, []
+    for r in sorted(made, key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0, r["first_text"] is not None, (r["first_text"] or "").encode())):
+        files.append({"name": r["path"].rpartition("/")[2], "first_doc": r["first_doc"], "n_docs": r["n_docs"], "n_tokens": r["n_tokens"], "base": base})
+        base += r["n_tokens"]
+    with fs.open_output_stream(f"{at}/.{MANIFEST_NAME}") as f:
+        f.write(json.dumps({"length": length, "end_id": end_id, "n_tokens": base, "files": files}).encode())
+    fs.move(f"{at}/.{MANIFEST_NAME}", f"{at}/{MANIFEST_NAME}")
+    return files
+
+
+def manifest(folder: str) -> dict:
+    """What a folder holds: length, end_id, n_tokens and its files in order."""
+    fs, at = _opened(folder)
+    with fs.open_input_file(f"{at}/{MANIFEST_NAME}") as f:
+        return json.loads(f.readall())
 
 
 def read(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
@@ -161,14 +185,14 @@ def read(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
 
 def encode(docs: DataFrame, tokenizer: str, folder: str | None = None, length: int = LENGTH, end_id: int | None = END_ID) -> DataFrame:
     """Writes the files and returns each document's place and checksum as read back from them."""
-    spark = docs.sparkSession
-    made = write(docs, tokenizer, folder or shared.scratch(spark, "ids"), length, end_id)
-    files = sorted(made.collect(), key=lambda r: (r["first_doc"] is not None, r["first_doc"] or 0))  # a row per file
-    base, placed = 0, []
-    for r in files:
-        placed.append((r["path"], base))
-        base += r["n_tokens"]
-    return read(spark, placed)
+    folder = folder or shared.scratch(docs.sparkSession, "ids")
+    write(docs, tokenizer, folder, length, end_id)
+    return documents(docs.sparkSession, folder)
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's place and checksum, from a folder's manifest and files alone."""
+    return read(spark, [(f"{folder}/{x['name']}", x["base"]) for x in manifest(folder)["files"]])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from tidemark.llm import shared
 
@@ -56,21 +58,44 @@ def pieces(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(kept)]), first
 
 
+def by_word(path: str) -> bool:
+    """Whether a text's ids are its words' ids, one after the other: the normaliser changes characters, or runs of
+    white space to one, and no more; pre-tokens are the matches of a pattern that holds no white space and ends
+    between a letter and a mark; nothing is added between them."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda x, of: [] if x is None else x[of] if x["type"] == "Sequence" else [x]
+    for x in steps(spec.get("normalizer"), "normalizers"):
+        whitespace = x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " "
+        if x["type"] not in ("NFC", "Lowercase") and not whitespace:
+            return False
+    split, *rest = steps(spec.get("pre_tokenizer"), "pretokenizers") or [{"type": "none"}]
+    if split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"] or "Regex" not in split["pattern"]:
+        return False
+    if any(x["type"] != "ByteLevel" or x["add_prefix_space"] or x.get("use_regex", True) for x in rest):
+        return False
+    pattern = regex.compile(split["pattern"]["Regex"])
+    spaces = "\t\n\x0b\x0c\r "
+    probes = [a + s + b for a in ("a", "1", "'", ".", "é", "<|") for s in (*spaces, spaces) for b in ("b", "2", "s", "!", "ß", "|>")]
+    if any(set(m) & set(spaces) for x in probes for m in pattern.findall(x)):
+        return False
+    return all(pattern.findall(f"ab{m}") == ["ab", m] for m in ".,;:!?") and pattern.findall("a b") == ["a", "b"]
+
+
 class Encoder:
-    """Ids of texts under a tokenizer whose normaliser and pre-tokenizer never join or look across
-    ASCII white space, so that a text's ids are its words' ids, one after the other. (The word-level
-    vocabulary is such a one: white space ends every pre-token and is dropped; tests compare the
-    result with whole texts encoded at once.)"""
+    """Ids of texts. Under a tokenizer whose normaliser and pre-tokenizer never join or look across ASCII white
+    space (by_word()), each distinct word is encoded once and remembered; under any other, whole texts are."""
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end, self.by_word = Tokenizer.from_file(path), end_id, by_word(path)
         #: Taken away for text that it would not change but for white space, which no id depends on.
         self.normalizer = self.tokenizer.normalizer
-        self.apart = self.tokenizer.encode("\x01", add_special_tokens=False).ids[0]
-        self._reset()
+        if self.by_word:
+            self.apart = self.tokenizer.encode("\x01", add_special_tokens=False).ids[0]
+            self._reset()
 
     def _reset(self) -> None:
         end = [] if self.end is None else [self.end]
@@ -125,6 +150,11 @@ class Encoder:
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that lie end to end: all ids, each text's followed by the end id, and len(at) offsets.
         Words are found and told apart without making a Python object of each."""
+        if not self.by_word:
+            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)]
+            end = [] if self.end is None else [self.end]
+            each = [x.ids + end for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(itertools.chain.from_iterable(each), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
         if len(self.memo) > MEMO_WORDS:
             self._reset()
         words, first = pieces(data, at)
