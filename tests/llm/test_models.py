@@ -200,7 +200,7 @@ def test_scores_are_those_of_one_mixer_over_all(spark):
     for i in range(5):
         tables.fill(i, found, times)
     mixer.read(tables, each)
-    scorer = scoring.Scorer(tables.checks, tables.logits(), mixer)
+    scorer = scoring.Scorer(tables.logits(), mixer)
     got = {r["doc_id"]: r for r in scoring.scored(frame(spark, rows)).collect()}
     for k, t in rows:
         body = b" ".join((t or "").encode().lower().split()) + b"\xff"
@@ -220,23 +220,22 @@ def test_mixer_bit_by_bit():
     assert tables.counts.sum() == sum(plain.counts.values())  # every context has a slot of its own
     mixer = scoring.Mixer()
     mixer.read(tables, each)
-    scorer = scoring.Scorer(tables.checks, tables.logits(), mixer)
+    scorer = scoring.Scorer(tables.logits(), mixer)
     for t in [*texts, "the cat", "foxes of the é"]:
         chunk = pieces_of(t)
-        assert scorer.scores(chunk)[0] == pytest.approx(plain.log10(t), rel=1e-7)
+        assert scorer.scores(chunk)[0] == pytest.approx(plain.log10(t), rel=1e-5)
         assert scorer.scores(chunk)[0] == pytest.approx(scorer.log10(scoring.grams(chunk)[0]).sum(), rel=1e-9)
 
 
 def test_bytes_are_a_distribution():
     random = np.random.default_rng(0)
     slots = 1 << 16
-    checks = random.integers(0, 256, (len(scoring.PREDICTORS), slots)).astype(np.uint8)
-    logits = random.integers(-127, 128, checks.shape).astype(np.int8)
+    logits = random.integers(0, 1 << 16, (len(scoring.PREDICTORS), slots)).astype(np.uint16)
     weights = random.normal(0.2, 0.1, scoring.Mixer().weights.shape)
-    scorer = scoring.Scorer(checks, logits, scoring.Mixer(weights))
+    scorer = scoring.Scorer(logits, scoring.Mixer(weights))
     for g in scoring.grams(pieces_of("the end"))[0]:
         every = (g & ~np.uint64(255)) | np.arange(256, dtype=np.uint64)
-        assert (10 ** scorer.log10(every)).sum() == pytest.approx(1, abs=1e-9)
+        assert (10 ** scorer.log10(every)).sum() == pytest.approx(1, abs=1e-5)  # of 32-bit numbers
 
 
 def test_context_crosses_words_but_not_texts():
