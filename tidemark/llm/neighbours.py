@@ -9,7 +9,7 @@ on the way down sum up to the least is followed next, until its leaves hold as m
 
 What travels. Only distinct vectors are indexed, each with its k + 1 smallest vec_ids: no other id of equal
 vectors can be among k nearest, so a hot vector is k + 1 rows and nothing is lost. Likewise equal queries are
-one. Trees carry ids and 8-bit codes of the vectors; a leaf's rows meet its visits as blocks. A block drops
+one. Trees carry ids and 16-bit codes of the vectors; a leaf's rows meet its visits as blocks. A block drops
 the pairs that, by the codes' error bound, cannot reach the k + 1 nearest of the query's sampled candidates;
 what is left of a query, mostly a few dozen pairs, is compared in double precision on the original vectors.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import shared
 
-TREES, LEAF, SAMPLE, SEED = 24, 32, 16384, 17
+TREES, LEAF, SAMPLE, SEED = 16, 32, 16384, 17
 #: Rows, or visits, of a leaf that meet as one block; queries that a task walks the trees for.
 BLOCK_ROWS, WALKS = 4096, 64
 QUERY_EVERY, K = 50, 5
@@ -43,7 +43,7 @@ QUERY_EVERY, K = 50, 5
 
 def budget(rows: int) -> float:
     """Distinct vectors that a query's leaves should hold."""
-    return 2.6 * max(1, rows) ** 0.8
+    return 2.8 * max(1, rows) ** 0.8
 
 
 class Forest:
@@ -181,9 +181,9 @@ def normed(values: np.ndarray) -> np.ndarray:
 
 
 def packed(unit: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """8-bit codes of unit vectors, and their steps."""
-    step = np.abs(unit).max(axis=1, initial=1e-12) / 127
-    codes = np.round(unit / step[:, None]).astype(np.int8)
+    """16-bit codes of unit vectors, and their steps."""
+    step = np.abs(unit).max(axis=1, initial=1e-12) / 32767
+    codes = np.round(unit / step[:, None]).astype(np.int16)
     return pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(step)
 
 
@@ -257,10 +257,10 @@ def search(vectors: DataFrame, every: int = QUERY_EVERY, k: int = K, trees: int
             out = []
             for i in range(batch.num_rows):
                 own, asks = (batch.column(c)[i].values for c in ("of", "asked"))
-                grid = lambda s: np.frombuffer(b"".join(s.field("tiny").to_pylist()), np.int8).reshape(len(s), width).astype(np.float32)
+                grid = lambda s: np.frombuffer(b"".join(s.field("tiny").to_pylist()), np.int16).reshape(len(s), width).astype(np.float64)
                 step, ask = own.field("step").to_numpy(), asks.field("step").to_numpy()
                 near = (grid(asks) @ grid(own).T) * (ask[:, None] * step[None, :])
-                off = 0.505 * np.sqrt(width) * (ask[:, None] + step[None, :]) + 1e-5
+                off = 0.505 * np.sqrt(width) * (ask[:, None] + step[None, :]) + 1e-9
                 q, j = np.nonzero(near + off >= asks.field("floor").to_numpy()[:, None])
                 out.append((asks.field("q").to_numpy()[q], own.field("vec_id").to_numpy()[j], (near - off)[q, j], (near + off)[q, j]))
             columns = [np.concatenate(x) for x in zip(*out, strict=True)]
