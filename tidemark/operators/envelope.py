@@ -68,8 +68,9 @@ def errors(currency: Column, now_ms: Column) -> Column:
 
 
 def checked(changes: DataFrame, currency: Column, now_ms: Column) -> DataFrame:
-    """changes with their errors and whether they are accepted."""
-    return changes.withColumn("errors", errors(currency, now_ms)).withColumn("accepted", F.size("errors") == 0)
+    """changes with their errors and whether they are accepted. The errors are made by a generator of one row, so
+    that a filter on them does not compute them again."""
+    return changes.select("*", F.explode(F.array(errors(currency, now_ms))).alias("errors")).withColumn("accepted", F.size("errors") == 0)
 
 
 #: What strict typing allows in JSON, by field; anything else is an unknown field.

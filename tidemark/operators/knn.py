@@ -52,7 +52,7 @@ def _found(queries: DataFrame, index: DataFrame, k: int, of_labels: bool = False
         if not asks.any() or asks.all():
             return table.schema.empty_table().select([]).append_column("query_id", pa.array([], pa.int64())).append_column("id", pa.array([], pa.int64())).append_column("label", pa.array([], pa.string())).append_column("sim", pa.array([], pa.float64()))
         ids = table.column("id").to_numpy()
-        vectors = np.array(table.column("vector").to_pylist(), np.float64)
+        vectors = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         vectors /= np.maximum(np.sqrt((vectors * vectors).sum(1, keepdims=True)), 1e-12)
         own, order = ids[~asks], np.argsort(ids[~asks], kind="stable")
         own, rows = own[order], vectors[~asks][order]

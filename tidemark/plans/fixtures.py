@@ -12,6 +12,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: a small table is one row group, which one task reads,
+    whatever a row then costs. A table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def landed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One landing log: 100 changes a commit, versions that run ahead and fall back, deletes, reclassifies."""
     e = table(spark, sf_dir, "events")
@@ -117,7 +124,7 @@ def window(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as merchants' changes, some of them wrong."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     k = F.col("o_orderkey")
     content = F.struct(
         F.when(k % 29 == 0, "").otherwise(F.col("o_orderpriority")).alias("title"),
@@ -166,7 +173,7 @@ asked AS (SELECT * FROM vectors WHERE id % 5 = 0), held AS (SELECT * FROM vector
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw rows for a training set: n, title (the first line), description, category."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     title = F.when(F.col("doc_id") % 41 == 0, F.lit(None)).otherwise(F.trim(F.split("text", "\n")[0]))
     category = F.expr("CASE WHEN doc_id % 43 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN concat('Old > S', doc_id % 5, ' > T > U') WHEN doc_id % 11 = 0 THEN 'Lost > X' ELSE concat('New > S', doc_id % 5, ' > T') END")
     return d.select(F.col("doc_id").alias("n"), title.alias("title"), F.col("text").alias("description"), category.alias("category"), F.col("source").alias("origin"))

@@ -518,7 +518,7 @@ def _english_sql(source: str, text: str) -> str:
 
 @query(f"SELECT doc_id, english FROM ({_english_sql('documents', 'text')})")
 def english_filter(spark, d):
-    return X.table(spark, d, "documents").select("doc_id", C.english(F.col("text")).alias("english"))
+    return X.spread(X.table(spark, d, "documents")).select("doc_id", C.english(F.col("text")).alias("english"))
 
 
 @query("SELECT doc_id, substr(sha256(concat(string_split(text, chr(10))[1], chr(10), text)), 1, 16) AS id FROM documents")
@@ -528,7 +528,7 @@ def shape_ids(spark, d):
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def dedup_first(spark, d):
-    rows = X.table(spark, d, "documents").select(F.xxhash64("text").alias("h"), "doc_id", "source")
+    rows = X.table(spark, d, "documents").select(F.sha2("text", 256).alias("h"), "doc_id", "source")
     return curate.first_seen(rows, "h", "doc_id").select("doc_id", "source")
 
 
