@@ -6,8 +6,8 @@ from tidemark.functions import report
 from tidemark.operators import classify, evaluate
 from tidemark.schemas import OUTCOMES
 from tidemark.sources import files, generate, vectors
-from tidemark.sources.vtable import VTable, pinned, prune_snapshots, snapshots
-from tidemark.streaming import ingest, service
+from tidemark.sources.vtable import Files, VTable, pinned, prune_snapshots, snapshots
+from tidemark.streaming import ingest, loops, service
 from tests.test_operators import item
 
 NOW = 1_700_000_000.0
@@ -94,3 +94,39 @@ def test_reports():
             report.duration(bad)
     assert report.sweep([{"threshold": 0.5, "accuracy": 0.25, "precision": None, "uncategorized": 1, "level1": 0, "level2": 0}]).splitlines()[2] == "| 0.50 | 25.0% | – | 100.0% | 0.0% | 0.0% |"
     assert report.restart([], 0) == 1 and report.restart([1, 2, 3], 4) == 4 and report.restart([1, 2, 3, 4, 5], 6) is None
+
+
+def test_a_loop_ticks_until_it_is_stopped(spark, tmp_path):
+    made, claim, now = Files(spark, f"file://{tmp_path}"), f"file://{tmp_path}/export.claim", [100.0]
+    seen = []
+
+    def tick():
+        seen.append(len(seen))
+        if len(seen) == 4:
+            loop.stop.set()
+        return len(seen) < 3
+
+    loop = loops.Loop(made, claim, tick, interval=0.01, clock=lambda: now[0])
+    assert loop.run() == 4 and not made.exists(claim)
+
+    def other():
+        with pytest.raises(loops.Taken):
+            loops.Loop(made, claim, lambda: None, clock=lambda: now[0]).run()
+        now[0] += 1000  # the holder has not renewed its claim for too long
+        late = loops.Loop(made, claim, lambda: late.stop.set(), clock=lambda: now[0])
+        assert late.run() == 1
+        raise OSError("a tick that fails")
+
+    with pytest.raises(OSError, match="fails"):
+        loops.Loop(made, claim, other, clock=lambda: now[0]).run()
+    assert not made.exists(claim)
+
+
+def test_training_files_are_the_same_bytes(spark, tmp_path):
+    rows = [(str(i % 40), f"t{i}", "", "A", "s") for i in range(200)]
+    found = []
+    for k, order in enumerate((rows, rows[::-1])):
+        df = spark.createDataFrame(order, "id string, title string, description string, category string, source string").repartition(3 + k)
+        files.write_training(df, f"file://{tmp_path}/{k}", parts=2)
+        found.append(sorted(p.read_bytes() for p in (tmp_path / str(k)).glob("*.gz")))
+    assert found[0] == found[1] and len(found[0]) == 2

@@ -141,6 +141,8 @@ def test_backlog_whatever_the_batches(spark, tmp_path, files):
     run(j, max_bytes=None, max_files=files)
     assert reported(j) == {(n, i): o for n, x in enumerate(WANT) for i, o in enumerate(x)}
     assert len(said) == (3 if files == 1 else 1)
+    failed = [x for line in said for x in line.get("failed", [])]
+    assert [(x["change_index"], x["error"]) for x in failed] == [(i, "cannot be stored without price_micros") for w in WANT for i, o in enumerate(w) if o == "failed"]
     got = {r["merchant_product_id"]: r for r in j.store.read().collect()}
     assert got["newer"]["title"] == "Green" and got["newer"]["primary_category"] == "Fake > G" and got["gone"]["is_tombstone"] and got["unknown"]["is_tombstone"]
     assert got["plain"]["attributes"] == '{"size": "M"}' and "spoiled" not in got

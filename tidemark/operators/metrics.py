@@ -74,6 +74,14 @@ def load_summary(requests: DataFrame, *by: str) -> DataFrame:
     return requests.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"), disc(0.5).alias("p50_ms"), disc(0.99).alias("p99_ms"), F.max("ms").alias("max_ms"))
 
 
+def ended_by(tallies: DataFrame, *by: str) -> DataFrame:
+    """What ended a load, by the strongest of its processes' reasons: stopped by hand, out of time, refused its
+    key, else all changes sent. tallies: stopped, timed_out, refused (booleans), sent, accepted."""
+    reasons = (("stopped", "ctrl_c"), ("timed_out", "seconds"), ("refused", "401"))
+    ended = F.coalesce(*(F.max(F.when(F.col(c), name)) for c, name in reasons), F.lit("changes"))
+    return tallies.groupBy(*by).agg(F.count(F.lit(1)).alias("processes"), F.sum("sent").alias("sent"), F.sum("accepted").alias("accepted"), ended.alias("ended_by"))
+
+
 def effects(events: DataFrame) -> DataFrame:
     return events.groupBy("type").agg(F.count(F.lit(1)).alias("events"))
 

@@ -11,6 +11,22 @@ from tidemark.functions import columns as C
 from tidemark.schemas import UNCATEGORIZED
 
 DEPTH = 3
+# Categories that a later release calls otherwise, as (old prefix, new prefix).
+RENAMES = (
+    ("Apparel & Accessories > Clothing > Baby & Toddler Clothing", "Apparel & Accessories > Clothing > Baby & Children's Clothing"),
+    ("Apparel & Accessories > Clothing > Boys' Underwear", "Apparel & Accessories > Clothing > Baby & Children's Clothing > Baby & Children's Underwear > Boys' Underwear"),
+    ("Apparel & Accessories > Clothing > Girls' Underwear", "Apparel & Accessories > Clothing > Baby & Children's Clothing > Baby & Children's Underwear > Girls' Underwear"),
+    ("Apparel & Accessories > Clothing > Uniforms", "Apparel & Accessories > Clothing > Uniforms & Workwear"),
+    ("Apparel & Accessories > Clothing Accessories > Baby & Toddler Clothing Accessories", "Apparel & Accessories > Clothing Accessories > Baby & Children's Clothing Accessories"),
+    ("Apparel & Accessories > Shoes > Baby & Toddler Shoes", "Apparel & Accessories > Shoes > Baby & Children's Shoes"),
+    ("Baby & Toddler > Nursing & Feeding > Baby Bottle Nipples & Liners", "Baby & Toddler > Nursing & Feeding > Feeding Essentials > Baby Bottle Nipples & Liners"),
+    ("Baby & Toddler > Nursing & Feeding > Baby Bottles", "Baby & Toddler > Nursing & Feeding > Feeding Essentials > Baby Bottles"),
+    ("Baby & Toddler > Nursing & Feeding > Bibs", "Baby & Toddler > Nursing & Feeding > Feeding Essentials > Bibs"),
+    ("Baby & Toddler > Nursing & Feeding > Sippy Cups", "Baby & Toddler > Nursing & Feeding > Feeding Essentials > Sippy Cups"),
+    ("Business & Industrial > Medical > Scrubs", "Apparel & Accessories > Clothing > Uniforms & Workwear > Scrubs"),
+    ("Furniture > Cabinets & Storage > Closets > Closet Rods", "Furniture > Cabinets & Storage > Closet Parts & Accessories > Closet Rods"),
+    ("Furniture > Cabinets & Storage > Closets > Closet Shelves", "Furniture > Cabinets & Storage > Closet Parts & Accessories > Closet Shelves"),
+)
 _HEADER = re.compile(r"^#.*Categories:\s*(\S+)")
 
 
@@ -47,6 +63,22 @@ def load(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     return parse(text.select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value")).select((F.col("n") + 1).alias("number"), "value"))
 
 
+def load_deeper(spark: SparkSession, path: str, version: str, paths: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(category, deeper) of a whole release, which must be of the version that paths come from and have no
+    category that they lack."""
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+    lines = text.select((F.col("n") + 1).alias("number"), "value")
+    head = lines.filter("number = 1").select("value").first()
+    m = _HEADER.match(head["value"]) if head else None
+    if m is None or m[1] != version:
+        raise ValueError(f"{path}: release {m[1] if m else '?'} is not {version}")
+    found = lines.filter(~F.startswith("value", F.lit("#")) & (F.instr("value", " : ") > 0))
+    below = descendants(found.select(F.trim(F.expr("substring(value, instr(value, ' : ') + 3)")).alias("path")), depth)
+    if odd := below.join(paths.select(F.col("path").alias("category")), "category", "left_anti").first():
+        raise ValueError(f"{path}: {odd['category']!r} is not in {version}")
+    return below
+
+
 def trim(paths: DataFrame, depth: int) -> DataFrame:
     return paths.filter((F.size(F.split("path", C.SEPARATOR)) <= depth) & (F.col("path") != UNCATEGORIZED))
 

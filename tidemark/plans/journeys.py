@@ -322,6 +322,36 @@ def category_texts(spark, d):
     return taxonomy.texts(paths, "joined").withColumn("recipe", F.lit("joined")).unionByName(taxonomy.texts(paths, "path").withColumn("recipe", F.lit("path")))
 
 
+@query(f"WITH {_RELEASE} SELECT split_part(path, ' > ', 1) AS category, string_agg(path, '|' ORDER BY path) AS deeper FROM release WHERE depth > 1 GROUP BY 1")
+def release_descendants(spark, d):
+    """The paths below each category, from a release of the same version."""
+    path = _release(spark, d)
+    version, paths = taxonomy.load(spark, path)
+    return taxonomy.load_deeper(spark, path, version, paths, depth=1).select("category", F.array_join("deeper", "|").alias("deeper"))
+
+
+_OLD = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in taxonomy.RENAMES)
+
+
+@query(f"""WITH renames AS (SELECT * FROM (VALUES {_OLD}) AS t(old, new)), paths AS (SELECT concat(old, ' > ', p_brand) AS path, concat(new, ' > ', p_brand) AS renamed FROM renames, (SELECT DISTINCT p_brand FROM part))
+SELECT path, renamed FROM paths UNION ALL SELECT concat(old, 's > x'), NULL FROM renames""")
+def published_renames(spark, d):
+    """The published renames over a path below each of them, and over paths that only begin alike."""
+    renames = spark.createDataFrame(list(taxonomy.RENAMES), "old string, new string")
+    brands = X.table(spark, d, "part").select("p_brand").distinct()
+    below = renames.crossJoin(brands).select(F.concat_ws(" > ", "old", "p_brand").alias("path"))  # 13 rows by a few brands
+    beside = renames.select(F.concat("old", F.lit("s > x")).alias("path"))
+    return taxonomy.renamed(below.unionByName(beside), renames).select("path", "renamed")
+
+
+@query("""WITH t AS (SELECT o_orderpriority AS load, o_orderkey % 1999 = 0 AS stopped, o_orderkey % 997 = 0 AS timed_out, o_orderkey % 499 = 0 AS refused, o_custkey AS sent, o_custkey // 2 AS accepted FROM orders)
+SELECT load, count(*) AS processes, sum(sent)::BIGINT AS sent, sum(accepted)::BIGINT AS accepted, CASE WHEN bool_or(stopped) THEN 'ctrl_c' WHEN bool_or(timed_out) THEN 'seconds' WHEN bool_or(refused) THEN '401' ELSE 'changes' END AS ended_by FROM t GROUP BY load""")
+def load_ended_by(spark, d):
+    k = F.col("o_orderkey")
+    tallies = X.table(spark, d, "orders").select(F.col("o_orderpriority").alias("load"), (k % 1999 == 0).alias("stopped"), (k % 997 == 0).alias("timed_out"), (k % 499 == 0).alias("refused"), F.col("o_custkey").alias("sent"), F.expr("o_custkey div 2").alias("accepted"))
+    return metrics.ended_by(tallies, "load")
+
+
 @query(f"WITH {X.CANDIDATES}, {X.PATHS} SELECT n FROM candidates WHERE category <> 'Uncategorized' AND category NOT IN (SELECT path FROM paths)")
 def unknown_labels(spark, d):
     return taxonomy.unknown(X.candidates(spark, d), X.category_paths(spark)).select("n")

@@ -24,6 +24,8 @@ from tidemark.sources.vtable import Files, VTable
 from tidemark.streaming.landing import LandingLog
 
 BACKFILL = 1000
+#: Characters of an error, and failed changes that a batch tells one by one.
+ERROR_CHARS, TOLD = 500, 100
 _CONTENT = ["title", "description", "price_micros", "currency", "availability", "attributes"]
 
 
@@ -42,7 +44,9 @@ def changes_of(landing: DataFrame) -> DataFrame:
     content = F.struct(*(F.coalesce(F.col("content.description"), F.lit("")).alias(c) if c == "description" else F.coalesce(F.col("content.attributes"), F.create_map().cast("map<string,string>")).alias(c) if c == "attributes" else F.col(f"content.{c}").alias(c) for c in _CONTENT))
     is_upsert = F.col("op") == "upsert"
     whole = F.col("content").isNotNull() & F.greatest(*(F.col(f"content.{c}").isNull().cast("int") for c in ("title", "price_micros", "currency", "availability"))).eqNullSafe(0)
-    rows = rows.withColumn("storable", ~is_upsert | F.coalesce(whole, F.lit(False))).withColumn("content", F.when(is_upsert, content))
+    missing = F.concat_ws(", ", *(F.when(F.col(f"content.{c}").isNull(), c) for c in ("title", "price_micros", "currency", "availability")))
+    error = F.when(is_upsert & ~F.coalesce(whole, F.lit(False)), F.left(F.concat(F.lit("cannot be stored without "), missing), F.lit(ERROR_CHARS)))
+    rows = rows.withColumns({"error": error, "storable": error.isNull()}).withColumn("content", F.when(is_upsert, content))
     flat = {c: F.col(f"content.{c}") for c in _CONTENT[:-1]} | {"attributes": C.attributes_text(F.col("content.attributes"))}
     rows = rows.withColumn("hash", C.content_hash(F.col("content"))).withColumns(flat)
     rows = rows.withColumn("view", F.when(is_upsert, view(F.col("title"), F.col("description"), F.col("attributes"))))
@@ -66,10 +70,16 @@ class Ingest:
         live = ~F.col("is_tombstone")
         # what the log says of a file decides whether a batch reads it for backfill
         self.store.stats = {"flagged": F.count_if(live & F.col("needs_reclassify")), "versions": F.collect_set(F.when(live, F.coalesce("taxonomy_version", F.lit(""))))}
-        self.query_id = ""
+        self.checkpoint = f"{self.root}/checkpoint"
         #: Called with the name of each step that is done; tests raise here.
         self.after: Callable[[str], None] = lambda step: None
 
+    @property
+    def query_id(self) -> str:
+        """The query that outcomes belong to: the checkpoint's own id once it has one, which restarts keep."""
+        files, path = Files(self.spark, self.root), f"{self.checkpoint}/metadata"
+        return f"ingest-{json.loads(files.read(path))['id'] if files.exists(path) else self.store.table_id}"
+
     def decide(self, batch: DataFrame, head: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(decided changes, writes with store columns, the persisted changes) of a batch over the store at
         head."""
@@ -98,6 +108,7 @@ class Ingest:
         decided, writes, changes = self.decide(batch, head)
         writes = writes.persist()
         try:
+            failed = [r.asDict() for r in changes.filter("not storable").select("submission_id", "change_index", "error").limit(TOLD).collect()]
             planned = writes.count()
             self.after("planned")
             applied, version = self.store.merge(self.store_rows(writes)) if planned else (0, None)
@@ -107,7 +118,7 @@ class Ingest:
             rows = decided.withColumn("hour", C.hour(C.uuid_ms(F.col("submission_id")))).select(*(F.col(f.name).cast(f.dataType) for f in OUTCOMES))
             self.outcomes.append(rows, (self.query_id, batch_id))
             self.after("appended")
-            self.say({"type": "batch", "batch": batch_id, "writes": applied, "store_version": version, "ms": round((time.monotonic() - began) * 1000)})
+            self.say({"type": "batch", "batch": batch_id, "writes": applied, "store_version": version, "ms": round((time.monotonic() - began) * 1000)} | ({"failed": failed} if failed else {}))
         finally:
             writes.unpersist()
             changes.unpersist()
@@ -129,11 +140,9 @@ class Ingest:
 
     def start(self, *, max_bytes: int | None = 8 << 20, max_files: int = 100_000, **trigger) -> StreamingQuery:
         """The running query; trigger: processingTime="60 seconds", or availableNow=True."""
-        checkpoint = f"{self.root}/checkpoint"
-        self.guard(checkpoint)
-        self.query_id = f"ingest-{self.store.table_id}"
+        self.guard(self.checkpoint)
         stream = self.landing.stream(max_bytes, max_files)
-        return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", self.checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
     def rebuild(self, batch_rows: int | None = None) -> int:
         """Applies the whole retained log again, in replay order: a store that lags catches up, and one that does
