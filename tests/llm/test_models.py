@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from tests.llm.conftest import frame
-from tidemark.llm import langid, neighbours, scoring, shared, syncmers
+from tidemark.llm import langid, neighbours, scoring, shared, syncmers, tokens
 
 WORDS = {"en": "the of and that with house water under stone river".split(), "fr": "le la des une maison rivière sous pierre avec château".split(), "de": "der die das und haus wasser unter stein fluß mit".split()}
 
@@ -38,6 +38,26 @@ def test_languages_of_held_out_texts(spark, odd):
     assert [by[1000 + k] for k in (1, 2, 3, 9)] == ["und"] * 4 and by[1010] != "und"
 
 
+def test_long_texts_are_read_in_parts(monkeypatch):
+    """n-grams, words and ids of long texts, in parts, are those of the whole."""
+    random = np.random.default_rng(1)
+    text = " ".join(random.choice(["the", "Wörd", "a", "x1y", "日本語", "it's", "END.", "--"], 4000)) + "y" * 700
+    data, at = shared.text_bytes(pa.array(["short one", text, "", "other"]))
+    whole, ends = langid.grams(data, at)
+    hashes, first = shared.words(data, at[1:3])
+    ids, _ = tokens.Encoder(tokens.vocabulary(), 1).encode(data, at[1:3])
+    monkeypatch.setattr(shared, "SLICE_BYTES", 256)
+    monkeypatch.setattr(tokens, "SLICE_BYTES", 256)
+    got = [(int(r), x) for rows, offsets in langid.parts(data, at, 256) for r, x in zip(rows, zip(offsets, offsets[1:], strict=False), strict=True)]
+    assert [r for r, _ in got] == sorted(r for r, _ in got) and len(got) > 20
+    for row in range(4):
+        found = [g for r, x in got if r == row for g in langid.grams(data, np.array(x))[0].tolist()]
+        assert found == whole[ends[row] : ends[row + 1]].tolist()
+    again, edges = shared.words(data, at[1:3])
+    assert again.tolist() == hashes.tolist() and edges.tolist() == first.tolist()
+    assert tokens.Encoder(tokens.vocabulary(), 1).encode(data, at[1:3])[0].tolist() == ids.tolist()
+
+
 def test_languages_without_training(spark):
     assert [r["lang_pred"] for r in langid.predicted(frame(spark, [(1, "text", None)])).collect()] == ["und"]
     assert langid.predicted(frame(spark, [])).collect() == []

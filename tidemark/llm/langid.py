@@ -64,6 +64,17 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return packed[keep], np.searchsorted(keep, starts)
 
 
+def parts(data: np.ndarray, at: np.ndarray, limit: int = shared.SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, offsets) of slices of the texts. A long text is cut where it has no letter, which no n-gram crosses,
+    so that its row comes with several slices."""
+    for lo, hi in shared.slices(at, limit):
+        if hi - lo > 1 or at[hi] - at[lo] <= 2 * limit:
+            yield np.arange(lo, hi), at[lo : hi + 1]
+        else:
+            for x in shared.cuts(data, int(at[lo]), int(at[hi]), limit, _CLEAN == 0x20):
+                yield np.array([lo]), np.array(x)
+
+
 def places(found: np.ndarray, slots: int, probes: int) -> list[np.ndarray]:
     h = shared.mix(found + np.uint64(0x632BE59BD9B4E019))
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
@@ -104,10 +115,10 @@ def counted(docs: DataFrame, languages: list[str]) -> DataFrame:
         for batch in batches:
             data, at = shared.text_bytes(batch.column("text"))
             lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
-            for lo, hi in shared.slices(at, 4 * shared.SLICE_BYTES):
-                found, ends = grams(data, at[lo : hi + 1])
-                key = found << np.uint64(16) | np.repeat(lang[lo:hi], np.diff(ends)).astype(np.uint64)
-                unique, n = np.unique(key[np.repeat(lang[lo:hi], np.diff(ends)) >= 0], return_counts=True)
+            for rows, offsets in parts(data, at, 4 * shared.SLICE_BYTES):
+                found, ends = grams(data, offsets)
+                own = np.repeat(lang[rows], np.diff(ends))
+                unique, n = np.unique((found << np.uint64(16) | own.astype(np.uint64))[own >= 0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((unique >> np.uint64(16)).astype(np.int64)), pa.array((unique & np.uint64(0xFFFF)).astype(np.int32)), pa.array(n)], ["gram", "language", "n"])
 
     return docs.select("text", "lang").mapInArrow(count, "gram long, language int, n long").groupBy("gram", "language").agg(F.sum("n").alias("n"))
@@ -153,18 +164,21 @@ def scored(docs: DataFrame, model: Filter, *keep: str, names: tuple[str, str, st
             column = batch.column("text")
             data, at = shared.text_bytes(column)
             pred, sure, cover = np.full(len(column), UND, object), np.zeros(len(column)), np.zeros(len(column))
-            for lo, hi in shared.slices(at):
-                for i in range(lo, hi):
-                    text = data[at[i] : at[i + 1]].tobytes()
-                    if f.languages and (text.upper() != text.lower() or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace"))))):
+            counts, n = np.zeros((len(column), len(f.languages))), np.zeros(len(column))
+            for rows, offsets in parts(data, at) if f.languages else ():
+                for i, a, z in zip(rows, offsets, offsets[1:], strict=False):
+                    text = data[a:z].tobytes()
+                    if text.upper() != text.lower() or (not text.isascii() and any(map(str.isalpha, text.decode("utf-8", "replace")))):
                         pred[i] = f.default
-                if f.languages:
-                    counts, n = f.shares(data, at[lo : hi + 1])
-                    best, total = counts.argmax(1), counts.sum(1)
-                    known = (pred[lo:hi] != UND) & (total > 0)
-                    pred[lo:hi][known] = np.array(f.languages, object)[best[known]]
-                    sure[lo:hi][known] = counts[known, best[known]] / total[known]
-                    cover[lo:hi][known] = counts[known, best[known]] / n[known]
+                some, many = f.shares(data, offsets)
+                counts[rows] += some
+                n[rows] += many
+            if f.languages and len(column):
+                best, total = counts.argmax(1), counts.sum(1)
+                known = (pred != UND) & (total > 0)
+                pred[known] = np.array(f.languages, object)[best[known]]
+                sure[known] = counts[known, best[known]] / total[known]
+                cover[known] = counts[known, best[known]] / n[known]
             columns = [*(batch.column(x) for x in keep), pa.array(pred, pa.string()), pa.array(sure), pa.array(cover)]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 

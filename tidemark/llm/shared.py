@@ -110,9 +110,28 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
 
 
+def cuts(data: np.ndarray, begin: int, stop: int, limit: int, gaps: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
+    """(begin, end) of parts of about limit bytes that end before a gap (a byte that is true in gaps), or at stop."""
+    while begin < stop:
+        end = min(stop, begin + limit)
+        while end < stop:
+            found = np.flatnonzero(gaps[data[end : min(stop, end + (1 << 16))]])
+            if len(found):
+                end += int(found[0])
+                break
+            end = min(stop, end + (1 << 16))
+        yield begin, end
+        begin = end
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts that lie end to end, A-Z as a-z, and the first word of each text
-    (len(texts) + 1 numbers)."""
+    (len(texts) + 1 numbers). One long text is read in parts."""
+    if len(offsets) == 2 and offsets[1] - offsets[0] > 2 * SLICE_BYTES:
+        own = list(cuts(data, int(offsets[0]), int(offsets[1]), SLICE_BYTES))
+        if len(own) > 1:
+            parts = [words(data, np.array(x))[0] for x in own]
+            return np.concatenate(parts), np.array([0, sum(map(len, parts))])
     base, data = offsets[0], LOWER[data[offsets[0] : offsets[-1]]]
     at, n = offsets - base, len(data)
     gap = np.ones(n + 2, bool)

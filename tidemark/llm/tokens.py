@@ -155,6 +155,12 @@ class Encoder:
             end = [] if self.end is None else [self.end]
             each = [x.ids + end for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.fromiter(itertools.chain.from_iterable(each), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
+        if len(at) == 2 and at[1] - at[0] > 2 * SLICE_BYTES:  # one long text, in parts that end before white space
+            own = list(shared.cuts(data, int(at[0]), int(at[1]), SLICE_BYTES))
+            if len(own) > 1:
+                parts, n_end = [self.encode(data, np.array(x))[0] for x in own], 0 if self.end is None else 1
+                ids = np.concatenate([x[: len(x) - n_end] for x in parts[:-1]] + parts[-1:])
+                return ids, np.array([0, len(ids)])
         if len(self.memo) > MEMO_WORDS:
             self._reset()
         words, first = pieces(data, at)
