@@ -137,7 +137,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, length: int = LENGTH, en
             if not batch.num_rows:
                 continue
             if out is None:
-                encoder = tokens.Encoder(tokenizer, end_id)
+                encoder = tokens.encoder(tokenizer, end_id)
                 path, first = f"{folder}/part-{uuid.uuid4().hex}", [batch.column(x)[0].as_py() for x in ("doc_id", "begin")]
                 out = Writer(path, length, id_type(encoder.tokenizer.get_vocab_size()))
             data, at = shared.text_bytes(batch.column("text"))

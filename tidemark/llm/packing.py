@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """One row per run of at most capacity ids of a document, with the ids' checksum."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.Encoder(tokenizer, end_id)
+        encoder = tokens.encoder(tokenizer, end_id)
         for batch in batches:
             data, at = shared.text_bytes(batch.column("text"))
             keys = batch.column("doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import os
@@ -171,3 +172,9 @@ class Encoder:
         known = np.fromiter(map(self.memo.__getitem__, distinct), np.int64, len(distinct))
         ids, ends = self._gather(np.insert(known[coded.indices.to_numpy()], first[1:], 0))
         return ids, ends[first + np.arange(len(first))]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, end_id: int | None) -> Encoder:
+    """The worker's encoder, which remembers words from one task to the next."""
+    return Encoder(path, end_id)
