@@ -388,6 +388,28 @@ def test_neighbours_equal_the_best_of_what_is_visited(spark):
         assert sorted(got[q]) == [(i + 1, v, cos[v]) for i, v in enumerate(order)]
 
 
+@pytest.mark.parametrize("extra", [0, 2])
+def test_sampled_vectors_lie_where_they_are_routed(extra):
+    """Also those on a plane: medians of odd numbers are vectors' own."""
+    random = np.random.default_rng(12)
+    sample = random.normal(size=(1999, 24))
+    sample /= np.sqrt((sample * sample).sum(1, keepdims=True))
+    forest = neighbours.Forest.fit(sample, trees=9, leaf=5, extra=extra)
+    inside = {c: set(m.tolist()) for c, m in forest.inside.items()}
+    codes = np.concatenate([forest.route(sample[a : a + 7]) for a in range(0, 1999, 7)])
+    assert all(i in inside[c] for i, row in enumerate(codes.tolist()) for c in row) and sum(map(len, inside.values())) == 9 * 1999
+    for v in sample[:40]:
+        seen = forest.seen(forest.search(v, 60))
+        assert len(seen) >= 60 and np.isin(codes[seen], forest.search(v, 60)).any(1).all()
+
+
+def test_every_query_has_k(spark):
+    random = np.random.default_rng(13)
+    data = random.normal(size=(3001, 12)).astype(np.float32)
+    got = neighbours.search(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(data)]), every=10, leaf=5, candidates=60).groupBy("query_id").count().collect()
+    assert len(got) == 301 and {r["count"] for r in got} == {5}
+
+
 def test_neighbours_ignore_other_columns(spark):
     more = "code int, q int, tiny string, step int, nth int, block int, of int, place int, score string, rank int, asked int, low int, high int"
     names = [x.split()[0] for x in more.split(", ")]

@@ -58,7 +58,7 @@ class Forest:
             setattr(self, name, value)
         self.extra = self.leaf_offsets.shape[1]
         first = np.flatnonzero(np.diff(self.codes, prepend=-1))
-        self.inside = dict(zip(self.codes[first].tolist(), np.split(self.members, first[1:]), strict=True))
+        self.inside = dict(zip(self.codes[first].tolist(), np.split(self.members, first[1:]), strict=True)) if len(first) else {}
 
     def fields(self) -> tuple[np.ndarray, ...]:
         return tuple(getattr(self, x) for x in self.FIELDS)
@@ -101,19 +101,17 @@ class Forest:
                 todo += [(rows[~found[2]], children[-1], 0), (rows[found[2]], children[-1], 1)]
         deep = random.normal(size=(trees, extra, width))
         deep /= np.maximum(np.linalg.norm(deep, axis=2, keepdims=True), 1e-12)
-        leaf_offsets, codes, members = np.zeros((len(leaves), extra)), [], []
+        leaf_offsets = np.zeros((len(leaves), extra))
         for number, rows in enumerate(leaves):
-            side = sample[rows] @ deep[tree_of[number]].T
             if extra and len(rows):
-                leaf_offsets[number] = np.median(side, axis=0)
-            codes.append((number << extra) + ((side > leaf_offsets[number]) << np.arange(extra)).sum(1).astype(np.int64))
-            members.append(rows)
-        codes, members = np.concatenate(codes), np.concatenate(members)
+                leaf_offsets[number] = np.median(sample[rows] @ deep[tree_of[number]].T, axis=0)
+        nodes = np.array(planes, np.float32).reshape(-1, width), np.array(offsets), np.array(children, np.int64).reshape(-1, 2)
+        none = np.zeros(0, np.int64)
+        empty = cls(*nodes, np.array(roots), np.array(tree_of), deep, leaf_offsets, none, none)
+        # where a vector on a plane goes is route()'s to say, for the sample as for all rows
+        codes = empty.route(sample).reshape(-1)
         order = np.argsort(codes, kind="stable")
-        return cls(
-            np.array(planes, np.float32).reshape(-1, width), np.array(offsets), np.array(children, np.int64).reshape(-1, 2),
-            np.array(roots), np.array(tree_of), deep, leaf_offsets, codes[order], members[order],
-        )
+        return cls(*empty.fields()[:-2], codes[order], order // max(1, trees))
 
     def route(self, vectors: np.ndarray) -> np.ndarray:
         """Each vector's code in each tree."""
