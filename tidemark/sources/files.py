@@ -96,7 +96,7 @@ class Unavailable(RuntimeError):
 
 
 def fetch(get: Callable[[int, int], dict], *, page: int = 100, tries: int = 6, wait: float = 15.0, sleep: Callable[[float], None] = time.sleep, start: int = 0, stop: int | None = None) -> Iterator[dict]:
-    """The rows of a paged service from start to stop (None: to its end): get(offset, length) gives {"total",
+    """The rows of a paged service from start to stop (None: to its total): get(offset, length) gives {"total",
     "rows"}. Errors that may pass are tried again with doubling waits; a page without rows before the end is
     an error."""
     offset, total = start, stop
@@ -111,7 +111,7 @@ def fetch(get: Callable[[int, int], dict], *, page: int = 100, tries: int = 6, w
                 if attempt + 1 == tries:
                     raise Unavailable(f"offset {offset}: {tries} tries") from e
                 sleep(wait * 2**attempt)
-        total, rows = min(stop or found["total"], found["total"]), found["rows"]
+        total, rows = min(x for x in (stop, found.get("total")) if x is not None), found["rows"]
         if not rows and offset < total:
             raise Unavailable(f"offset {offset}: no rows before {total}")
         yield from rows
