@@ -229,6 +229,29 @@ def test_scores_are_those_of_one_mixer_over_all(spark):
         assert got[k]["bits_per_byte"] == pytest.approx(-got[k]["score"] * math.log2(10) / len(body))
 
 
+@pytest.mark.parametrize("groups", [1, 3])
+def test_every_training_text_is_learned_from(spark, monkeypatch, groups):
+    """More and longer texts than are read side by side at first, and copies, in one group and in some."""
+    random = np.random.default_rng(5)
+    texts = [" ".join(random.choice(WORDS["fr"], 3)) for _ in range(1300)] + ["the of and"] * 30 + [" ".join(random.choice(WORDS["en"], 800))]
+    each = [scoring.grams([p])[0] for p in pieces_of(*texts)]
+    tables = scoring.Tables()
+    found, times = np.unique(np.concatenate(each), return_counts=True)
+    for i in range(5):
+        tables.fill(i, found, times)
+    n_bytes = sum(map(len, each))
+    monkeypatch.setattr(scoring, "GROUP", -(-n_bytes // groups))
+    got = scoring.trained(spark, spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), n_bytes, tables)
+    mixers = [scoring.Mixer() for _ in range(groups)]
+    for g, mixer in enumerate(mixers):
+        mixer.read(tables, [x for t, x in zip(texts, each, strict=True) if zlib.crc32(bytes(5) + t.encode() + b"\xff") % groups == g])
+    assert sum(m.used.sum() for m in mixers) == sum(m.mass.sum() for m in mixers) == 8 * n_bytes
+    for name, mass in (("weights", lambda m: np.repeat(m.mass[:, None], 6, 1)), ("refined", lambda m: m.used)):
+        total = sum(map(mass, mixers))
+        want = np.where(total > 0, sum(mass(m) * getattr(m, name) for m in mixers) / np.maximum(1, total), getattr(scoring.Mixer(), name))
+        assert np.allclose(getattr(got, name), want, rtol=1e-9)
+
+
 def test_mixer_bit_by_bit():
     texts = ["the fox the fox", "a dog", "", "the dog é"]
     plain, tables = PlainMixer(texts), scoring.Tables()
