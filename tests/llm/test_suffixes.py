@@ -122,3 +122,22 @@ def test_loser_tree_merges_and_knows_prefixes():
     for (shared, run, _, _), (key, r) in zip(suffixes.merged(runs), want, strict=True):
         assert run == r and shared == (suffixes.common(last, key, 0) if last else 0)
         last = key
+
+
+def test_of_passages_of_over_fifty_words_those_of_400_bytes_go(spark):
+    """The contract's strings have 400 bytes, however many words: a shorter passage stays, and so do texts without one."""
+    random = np.random.default_rng(11)
+    text = lambda n, size: " ".join(bytes(random.integers(97, 123, size).astype(np.uint8)).decode() for _ in range(n))
+    rows, want = [], {}
+    for size, n in ((5, 55), (6, 56), (6, 58), (8, 60)):
+        passage = text(n, size)
+        for _ in range(2):
+            rows.append((len(rows), f"{text(40, 6)}A {passage} B{text(40, 6)}"))
+        for k in (0, 1):  # the blanks beside it are shared, the letters A and B too
+            want[len(rows) - 2 + k] = len(passage) + 4 if len(passage) + 4 >= 400 else 0
+    for _ in range(4):
+        rows.append((len(rows), text(120, 6)))
+        want[len(rows) - 1] = 0
+    got = {r["doc_id"]: r["n_removed"] for r in suffixes.deduplicated(frame(spark, rows)).collect()}
+    assert all(got[k] == n if n == 0 else n <= got[k] <= n + 4 for k, n in want.items()), (got, want)
+    assert sorted(want.values())[-1] > 400 and [want[k] > 0 for k in (0, 2, 4, 6)] == [False, False, True, True]
