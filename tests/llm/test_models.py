@@ -1,5 +1,6 @@
 import hashlib
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -252,6 +253,20 @@ def test_every_training_text_is_learned_from(spark, monkeypatch, groups):
         assert np.allclose(getattr(got, name), want, rtol=1e-9)
 
 
+def test_what_a_worker_holds_while_it_learns(monkeypatch):
+    """Beside the parts of a group, their lanes and one byte a byte to mark them; while it learns, not the parts."""
+    monkeypatch.setattr(scoring, "STEP", 16)
+    monkeypatch.setattr(scoring, "ALONE", 8)
+    texts = [f"{i} {'the fox and a dog ' * 1800}" for i in range(300)]
+    each = [scoring.grams([p])[0] for p in pieces_of(*texts)]
+    n_bytes = sum(map(len, each))
+    tracemalloc.start()
+    scoring.Mixer().read(scoring.Tables(1 << 10), each)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n_bytes > 1 << 23 and peak < 2.6 * n_bytes
+
+
 def test_mixer_bit_by_bit():
     texts = ["the fox the fox", "a dog", "", "the dog é"]
     plain, tables = PlainMixer(texts), scoring.Tables()
