@@ -253,6 +253,21 @@ def test_every_training_text_is_learned_from(spark, monkeypatch, groups):
         assert np.allclose(getattr(got, name), want, rtol=1e-9)
 
 
+def test_what_a_worker_keeps_for_other_operators():
+    """The encoder stays from task to task, and goes when another operator's task begins; n-grams take 24 bytes a byte at most."""
+    own = tokens.encoder(tokens.vocabulary(), 1)
+    assert tokens.encoder(tokens.vocabulary(), 1) is own and tokens.encoder(tokens.vocabulary(), None) is not own
+    rows = pa.array(["the fox and a dog, das Haus; " * 4000] * 20)
+    data, at = shared.text_bytes(rows)
+    tracemalloc.start()
+    found, ends = langid.grams(data, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 * len(data) and ends[-1] == len(found)
+    shared.lean()
+    assert not shared.kept
+
+
 def test_what_a_worker_holds_while_it_learns(monkeypatch):
     """Beside the parts of a group, their lanes and one byte a byte to mark them; while it learns, not the parts."""
     monkeypatch.setattr(scoring, "STEP", 16)

@@ -48,20 +48,21 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(at) - 1
     base, size = at[0], at[-1] - at[0]
     padded = np.full(size + 2 * n + GRAM, 0x20, np.uint8)
-    where = np.arange(size) + 2 * np.repeat(np.arange(n), np.diff(at)) + 1
-    padded[where] = _CLEAN[data[base : at[-1]]]
     starts = at - base + 2 * np.arange(n + 1)
-    wide = padded.astype(np.uint64)
+    inside = np.ones(size + 2 * n, bool)
+    inside[starts[:-1]] = inside[starts[1:] - 1] = False
+    padded[: len(inside)][inside] = _CLEAN[data[base : at[-1]]]
     total = len(padded) - GRAM + 1
-    packed = np.zeros(total, np.uint64)
-    for i in range(GRAM):
-        packed |= wide[i : i + total] << np.uint64(8 * i)
     space = padded == 0x20
     good = ~space[1 : 1 + total]
     for i in range(2, GRAM - 1):
         good &= ~space[i : i + total]
     keep = np.flatnonzero(good)
-    return packed[keep], np.searchsorted(keep, starts)
+    packed = np.zeros(len(keep), np.uint64)
+    for i in reversed(range(GRAM)):
+        packed <<= np.uint64(8)
+        packed |= padded[i : i + total][good]
+    return packed, np.searchsorted(keep, starts)
 
 
 def parts(data: np.ndarray, at: np.ndarray, limit: int = shared.SLICE_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,6 +113,7 @@ def counted(docs: DataFrame, languages: list[str]) -> DataFrame:
     number = {x: i for i, x in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.lean()
         for batch in batches:
             data, at = shared.text_bytes(batch.column("text"))
             lang = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()], np.int64)
@@ -133,7 +135,7 @@ def learned(docs: DataFrame, slots: int = SLOTS, probes: int = PROBES, relative:
         raise ValueError(f"{len(languages)} languages; counted() numbers them in 16 bits")
     if not languages:
         return Filter([], np.zeros((slots, 1), np.uint64), probes, UND)
-    counts = shared.settled(counted(docs, languages), "grams")
+    counts = shared.settled(counted(docs, languages), "grams", shared.ARROW_SMALL)
     totals = {r["language"]: r["n"] for r in counts.groupBy("language").agg(F.sum("n").alias("n")).collect()}
     per = F.element_at(F.array(*(F.lit(1.0 / max(1, totals.get(i, 1))) for i in range(len(languages)))), F.col("language") + 1) * F.col("n")
     rated = counts.withColumn("rate", per)
@@ -159,6 +161,7 @@ def scored(docs: DataFrame, model: Filter, *keep: str, names: tuple[str, str, st
     schema = docs.select(*keep, F.lit("").alias(names[0]), *(F.lit(0.0).alias(x) for x in names[1:])).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.lean()
         f = Filter(*sent.value)
         for batch in batches:
             column = batch.column("text")

@@ -93,6 +93,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, node (a 64-bit hash of the set; null without words), n_shingles and band hashes."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.lean()
         for batch in batches:
             data, at = shared.text_bytes(batch.column("text"))
             for lo, hi in shared.slices(at):
@@ -112,6 +113,7 @@ def candidate_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, set) for the given nodes, as bytes of ascending 64-bit hashes."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.lean()
         for batch in batches:
             data, at = shared.text_bytes(batch.column("text"))
             for lo, hi in shared.slices(at):
@@ -194,12 +196,12 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows, labels): doc_id, node and n_shingles per document, and the label of each linked node."""
     rows = signed(docs, width)
-    rows = shared.settled(rows, "signatures")
+    rows = shared.settled(rows, "signatures", shared.ARROW_SMALL)
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
     buckets = nodes.select("node", "doc_id", "n", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = shared.settled(buckets.join(sizes.hint("merge"), "bucket"), "buckets")
-    sets = shared.settled(candidate_sets(docs, members.select("node", "doc_id").distinct(), width), "sets")
+    sets = shared.settled(candidate_sets(docs, members.select("node", "doc_id").distinct(), width), "sets", shared.ARROW_SMALL)
 
     # a bucket's hub is the member that meets the most others, over all of its buckets
     met = members.groupBy("node").agg(F.sum("size").alias("met"))
@@ -208,7 +210,7 @@ def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     near = f"100 * least(n_a, n) >= {percent} * greatest(n_a, n)"
     tried = members.join(hubs.hint("merge"), "bucket").filter("node <> a").filter(near)
     tried = shared.settled(tried.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "pairs")
-    found = shared.settled(confirmed(tried, sets, percent), "links")
+    found = shared.settled(confirmed(tried, sets, percent), "links", shared.ARROW_SMALL)
     labels = shared.settled(components(found), "labels")
 
     now = members.select("bucket", "node", "n").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -221,7 +223,7 @@ def linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     enough = f"label <> label_b and node < node_b and (100 + {percent}) * (1 + least(n - place, n_b - place_b)) >= {percent} * (n + n_b)"
     pairs = rare.join(other.hint("merge"), "shingle").filter(enough).select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
     pairs = shared.settled(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
-    more = shared.settled(confirmed(pairs, sets, percent), "links")
+    more = shared.settled(confirmed(pairs, sets, percent), "links", shared.ARROW_SMALL)
     if not more.isEmpty():
         labels = shared.settled(components(found.unionByName(more)), "labels")
     return rows, labels

@@ -116,7 +116,7 @@ def ranked(rows: DataFrame, total: int) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Every piece of every document with its sequence and its offset there, gapless from 0."""
-    rows = shared.settled(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    rows = shared.settled(pieces(docs, tokenizer, capacity, end_id), "pieces", shared.ARROW_SMALL)
     histogram = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}  # at most capacity rows
     at = places(patterns(histogram, capacity))
     key = at[:, 0] << 40 | at[:, 1]

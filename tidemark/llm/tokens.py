@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import json
 import os
@@ -174,7 +173,10 @@ class Encoder:
         return ids, ends[first + np.arange(len(first))]
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str, end_id: int | None) -> Encoder:
-    """The worker's encoder, which remembers words from one task to the next."""
-    return Encoder(path, end_id)
+    """The worker's encoder, which remembers words from one task to the next, until another operator takes its turn."""
+    shared.lean("encoder")
+    own = shared.kept.get("encoder")
+    if own is None or own[0] != (path, end_id):
+        own = shared.kept["encoder"] = (path, end_id), Encoder(path, end_id)
+    return own[1]
