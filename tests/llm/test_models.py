@@ -282,6 +282,33 @@ def test_what_a_worker_holds_while_it_learns(monkeypatch):
     assert n_bytes > 1 << 23 and peak < 2.6 * n_bytes
 
 
+def test_known_grams_are_not_looked_up_again(monkeypatch):
+    """Equal grams are looked up once for many steps, and once for many chunks, with the results of each alone."""
+    monkeypatch.setattr(scoring, "ALONE", 8)
+    texts = ["the fox and a dog " * n for n in range(2, 60)]
+    each, tables = [scoring.grams([p])[0] for p in pieces_of(*texts)], scoring.Tables()
+    found, times = np.unique(np.concatenate(each), return_counts=True)
+    for i in range(5):
+        tables.fill(i, found, times)
+    sizes, spread = [], scoring.spread
+    monkeypatch.setattr(scoring, "spread", lambda h, *rest: sizes.append(h.size) or spread(h, *rest))
+    mixer = scoring.Mixer()
+    mixer.read(tables, each)
+    assert 0 < sum(sizes) < 3 * 40 * len(found)  # of more than 40 steps
+    with monkeypatch.context() as m:
+        m.setattr(scoring, "AHEAD", 1)
+        alone = scoring.Mixer()
+        alone.read(tables, each)
+    assert np.allclose(mixer.weights, alone.weights, rtol=1e-6) and np.allclose(mixer.refined, alone.refined, rtol=1e-5)
+    sizes.clear()
+    scorer, chunk = scoring.Scorer(tables.logits(), mixer), pieces_of(*texts)
+    first = scorer.scores(chunk)
+    once = sum(sizes)
+    assert scorer.scores(chunk).tolist() == first.tolist() and 0 < once == sum(sizes)
+    monkeypatch.setattr(scoring, "KNOWN", 4)
+    assert scoring.Scorer(tables.logits(), mixer).scores(chunk) == pytest.approx(first, rel=1e-6)
+
+
 def test_mixer_bit_by_bit():
     texts = ["the fox the fox", "a dog", "", "the dog é"]
     plain, tables = PlainMixer(texts), scoring.Tables()
