@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -278,6 +279,35 @@ def test_pages(spark, tmp_path):
     assert spark.read.format("paged").option("path", str(tmp_path)).option("total", 250).load().count() == 250
 
 
+def test_many_pages(spark, tmp_path):
+    def held(key):
+        return {"title": None if key % 7 == 0 else f"t{key} \u00e9\U0001f600\"\n", "description": f"d{key}", "category": None if key % 11 == 0 else "c"}
+
+    keys = [None, *(i // 3 for i in range(20_004))]  # equal keys, and one that is missing
+    rows = [(key, *held(key or 0).values()) for key in keys]
+    random.Random(1).shuffle(rows)
+    rows = spark.createDataFrame(rows, "key long, title string, description string, category string").repartition(5)
+    spark.dataSource.register(files.PagedSource)
+    for part, total in ((rows, 20_005), (rows.limit(0), 0)):
+        folder = tmp_path / str(total)
+        for _ in range(2):  # a page that is there is written again
+            assert files.write_pages(part, f"file://{folder}", ["key"], page=10) == total
+        assert sorted(p.name for p in folder.iterdir() if p.name[0] != ".") == sorted(f"page-{at}.json" for at in range(0, total, 10))
+        pages = [json.loads((folder / f"page-{at}.json").read_text()) for at in range(0, total, 10)]
+        assert [row for p in pages for row in p["rows"]] == [{k: v for k, v in held(key or 0).items() if v is not None} for key in keys[:total]]
+        assert {p["total"] for p in pages} <= {total} and all(len(p["rows"]) == 10 for p in pages[:-1])
+        read = spark.read.format("paged").option("path", f"file://{folder}").option("total", total).option("page", 10).load()
+        assert read.rdd.getNumPartitions() < 100
+        assert sorted(map(repr, read.collect())) == sorted(map(repr, part.drop("key").collect()))
+
+
+def test_runs_of_pages():
+    for total, page in ((0, 100), (1, 100), (100, 100), (101, 100), (6_401, 100), (20_000, 100), (7_200_001, 100), (12_345, 1)):
+        runs = [p.value for p in files.PagedReader("", total, page, 0.0).partitions()]
+        assert runs[0][0] == 0 and runs[-1][1] == total and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+        assert all(start % page == 0 and stop - start <= 100 * page for start, stop in runs) and len(runs) <= max(128, total // page // 100 + 1)
+
+
 def test_registry(spark, tmp_path):
     r = files.Registry(spark, f"file://{tmp_path}/r")
     key = r.create("m_1", "USD")

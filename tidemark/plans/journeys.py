@@ -219,27 +219,17 @@ def label_file(spark, d):
 
 @query("SELECT p_name AS title, p_type AS description, p_brand AS category FROM part")
 def paged_rows(spark, d):
-    """Parts from a paged service, a task a page."""
+    """Parts from a paged service, a task a run of pages."""
     rows = X.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("title"), F.col("p_type").alias("description"), F.col("p_brand").alias("category"))
-    total = rows.count()
-
-    def make(path: str) -> None:
-        at = (F.row_number().over(_line("p_partkey")) - 1).cast("long")
-        pages = rows.withColumn("at", at).groupBy(F.expr("at div 100 * 100").alias("offset")).agg(F.collect_list(F.struct("title", "description", "category")).alias("rows"))
-        store = Files(spark, path)
-        store.make(path)
-        for r in pages.select("offset", F.to_json(F.struct(F.lit(total).alias("total"), "rows")).alias("page")).toLocalIterator():
-            store.publish(f"{path}/page-{r['offset']}.json", r["page"])
-
-    folder = _once(spark, d, "pages", make)
+    folder = _once(spark, d, "pages", lambda path: files.write_pages(rows, path, ["p_partkey"]))
     spark.dataSource.register(files.PagedSource)
-    return spark.read.format("paged").option("path", folder).option("total", total).load()
+    return spark.read.format("paged").option("path", folder).option("total", rows.count()).load()
 
 
 def _line(key: str):
     from pyspark.sql import Window
 
-    return Window.partitionBy(F.lit(0)).orderBy(key)  # pages of a small service
+    return Window.partitionBy(F.lit(0)).orderBy(key)  # rows of a small export
 
 
 @query("SELECT source AS category, least(7, count(*)) AS drawn FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 20 GROUP BY source")

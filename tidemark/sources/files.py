@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.schemas import UNCATEGORIZED
+from tidemark.session import scratch
 from tidemark.sources.vtable import Files
 
 EVENT = "type string, ts long, submission_id string, change_index int, merchant_id string, worker int, changes int, ms long, head long, next map<string,array<long>>, listings long, rows long, status int, reason string"
@@ -118,9 +119,52 @@ def fetch(get: Callable[[int, int], dict], *, page: int = 100, tries: int = 6, w
         offset += len(rows)
 
 
+#: Pages that a task fetches, one after another, at most; and tasks below which it takes one page alone.
+PAGES, TASKS = 100, 64
+
+
+def write_pages(rows: DataFrame, folder: str, order: list[str], page: int = 100) -> int:
+    """All rows, in order of these and then of their other columns, as the pages that ``paged`` reads, without the
+    columns of order; returns the number of rows. Tasks sort a range of the rows each and write pages; the driver
+    sees a row a range."""
+    spark, columns = rows.sparkSession, [c for c in rows.columns if c not in order]
+    ranges = rows.repartitionByRange(*order, *columns).sortWithinPartitions(*order, *columns).select(F.monotonically_increasing_id().alias("at"), F.struct(*columns).alias("row"))
+    ranges.write.parquet(path := scratch(spark, "ranges"))  # else a range's bounds could change from job to job
+    ranges = spark.read.schema(ranges.schema).parquet(path).select(F.expr("at >> 33").alias("range"), F.expr("at & ((1l << 33) - 1)").alias("at"), "row")
+    total, bases = 0, []
+    for r in ranges.groupBy("range").count().orderBy("range").collect():
+        bases.append((r["range"], total))
+        total += r["count"]
+    numbered = ranges.join(F.broadcast(spark.createDataFrame(bases, "range long, base long")), "range").select((F.col("at") + F.col("base")).alias("at"), "row")
+    pages = numbered.groupBy((F.col("at") - F.col("at") % page).alias("offset")).agg(F.array_sort(F.collect_list(F.struct("at", "row"))).alias("rows"))
+    pages = pages.select("offset", F.to_json(F.struct(F.lit(total).alias("total"), F.col("rows.row").alias("rows"))).alias("page"))
+
+    def put(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for offset, text in zip(batch.column("offset").to_pylist(), batch.column("page"), strict=True):
+                made = f"{top}/page-{offset}.json"
+                with store.open_output_stream(f"{made}.{(own := uuid.uuid4().hex)}.tmp") as f:
+                    f.write(text.as_buffer())
+                try:
+                    store.move(f"{made}.{own}.tmp", made)
+                except OSError:  # some stores refuse a name that an earlier try of this task has given the same bytes
+                    if store.get_file_info(made).type != fs.FileType.File:
+                        raise
+                    store.delete_file(f"{made}.{own}.tmp")
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([batch.num_rows], pa.int64())})
+
+    Files(spark, folder).make(folder)
+    pages.mapInArrow(put, "rows long").agg(F.sum("rows")).collect()
+    return total
+
+
 class PagedSource(DataSource):
-    """``paged``: a service of JSON pages, one task a page, each fetched with retries. The service is a folder
-    (any that pyarrow opens by URI) of files ``page-<offset>.json``, in place of a remote one."""
+    """``paged``: a service of JSON pages, each fetched with retries, a task a page or, of many, a run of them. The
+    service is a folder (any that pyarrow opens by URI) of files ``page-<offset>.json``, in place of a remote one."""
 
     @classmethod
     def name(cls) -> str:
@@ -138,18 +182,20 @@ class PagedReader(DataSourceReader):
         self.path, self.total, self.page, self.wait = path, total, page, wait
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(at) for at in range(0, self.total, self.page)]
+        step = self.page * max(1, min(PAGES, self.total // self.page // TASKS))
+        return [InputPartition((at, min(self.total, at + step))) for at in range(0, max(1, self.total), step)]  # Spark reads none as one without a value
 
-    def get(self, offset: int, length: int) -> dict:
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
         from pyarrow import fs
 
         store, folder = fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(f"{folder}/page-{offset}.json") as f:
-            return json.loads(f.readall())
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        stop = min(self.total, partition.value + self.page)
-        for row in fetch(self.get, page=self.page, wait=self.wait, start=partition.value, stop=stop):
+        def get(offset: int, length: int) -> dict:
+            with store.open_input_file(f"{folder}/page-{offset}.json") as f:
+                return json.loads(f.readall())
+
+        start, stop = partition.value
+        for row in fetch(get, page=self.page, wait=self.wait, start=start, stop=stop):
             yield tuple(row.get(x) for x in ("title", "description", "category"))
 
 
